@@ -13,6 +13,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import embedding_near_dedup
+
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +36,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op10_token_binary": op10_token_binary,
