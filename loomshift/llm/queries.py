@@ -27,6 +27,13 @@ def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "p_toxic", "expected_severity", "grade", "toxic")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +46,7 @@ QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
 }
 SQL: dict[str, str] = {}
