@@ -19,6 +19,13 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weaklabel import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, *train(docs))
+
+
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +51,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op5_weak_label_quality": op5_weak_label_quality,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_toxicity": op9_toxicity,
