@@ -14,9 +14,9 @@ File format, little-endian throughout:
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 MAGIC, END = b"LSW1\0\0\0\0", b"LSW1END."
 BLOCK = 65536
-KEPT_CHUNKS, KEPT_LENGTH = 300_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 200_000, 48
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -185,38 +185,78 @@ def read_token_file(path: str):
 class ChunkEncoder:
     """Ids as the tokenizers library gives them, chunk by chunk.
 
-    Blank-separated chunks are encoded one by one and kept, which is exact for tokenizers that drop white space and never
-    merge across it; the constructor tries that. Chunks hold other white space as it is.
+    Blank-separated chunks are encoded once and kept as the bytes of their ids, which is exact for tokenizers that drop
+    white space and never merge across it; the constructor tries that. Chunks hold other white space as it is. New chunks
+    of letters and closing marks go to the library together, and the tokens that end a word part their ids again.
     """
 
     PROBE = "It's a  Test\tof 3 things,\n\n don't 're é ﬁ x<|endoftext|>y , ."
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
+    LATIN = "Words, été; Año!!! straße### Über... end"
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.exact = [i for c in self.PROBE.split() for i in self._ids([c])[0]] == self._ids([self.PROBE])[0]
+        self.known: dict[str, bytes] = {}
+        self.exact = b"".join(self._one(c) for c in self.PROBE.split()) == self._one(self.PROBE)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        units = [x for c in self.LATIN.split() for x in self.SIMPLE.fullmatch(c).groups() if x]
+        self.joins = self.exact and self._joined(units) == [self._one(x) for x in units]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None], end: int | None) -> list[np.ndarray]:
-        tail = [] if end is None else [end]
-        if not self.exact:
-            return [np.array(ids + tail, np.uint32) for ids in self._ids([t or "" for t in texts])]
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        wanted = {c for cs in chunks for c in cs}
-        missing = list(wanted - self.known.keys())
-        if len(self.known) + len(missing) > KEPT_CHUNKS:
-            self.known = {c: self.known[c] for c in wanted if c in self.known}
-        self.known.update(zip(missing, self._ids(missing)))
-        look = self.known.__getitem__
-        out = [np.array(list(chain.from_iterable(map(look, cs))) + tail, np.uint32) for cs in chunks]
-        for c in missing:
-            if len(c) > KEPT_LENGTH:
-                del self.known[c]
-        return out
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self._ids([text])[0], "<u4").tobytes()
+
+    def _joined(self, units: list[str]) -> list[bytes] | None:
+        """The units' ids, or None if the words that come back are not as many as the units."""
+        ids = np.array(self._ids([" ".join(units)])[0], "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(units) or len(ids) and last[-1] != len(ids):
+            return None
+        data, places = ids.tobytes(), (4 * last).tolist()
+        return [data[a:b] for a, b in zip([0, *places], places)]
+
+    def _learn(self, missing: list[str]) -> None:
+        simple: list[tuple[str, str, str]] = []
+        hard: list[str] = []
+        for chunk in missing:
+            parts = self.SIMPLE.fullmatch(chunk) if self.joins else None
+            if parts:
+                simple.append((chunk, parts[1], parts[2]))
+            else:
+                hard.append(chunk)
+        units = [u for u in dict.fromkeys(u for _, *us in simple for u in us if u) if u not in self.known]
+        found = self._joined(units) if units else []
+        if found is None:
+            hard += [chunk for chunk, *_ in simple]
+        else:
+            self.known.update(zip(units, found))
+            for chunk, core, tail in simple:
+                self.known[chunk] = self.known[core] + self.known[tail] if tail else self.known[core]
+        for chunk, ids in zip(hard, self._ids(hard)):
+            self.known[chunk] = np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str | None], end: int | None):
+        """Yield the ids of each text, and the end id."""
+        tail = b"" if end is None else np.array([end], "<u4").tobytes()
+        for text in texts:
+            if not self.exact:
+                yield np.frombuffer(self._one(text or "") + tail, "<u4")
+                continue
+            chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+            missing = list({c for c in chunks if c not in self.known})
+            if missing:
+                if len(self.known) > KEPT_CHUNKS:
+                    self.known = {c: self.known[c] for c in chunks if c in self.known}
+                self._learn(missing)
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, chunks)) + tail, "<u4")
+            for c in missing:
+                if len(c) > KEPT_LENGTH:
+                    self.known.pop(c, None)
 
 
 def write_token_files(docs: DataFrame, model_path: str, folder: str, end_id: int | None = 1) -> list[tuple]:
