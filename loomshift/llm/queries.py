@@ -31,6 +31,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture(docs).drop("text", "mix_source")
+
+
 def op5_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weaklabel import score, train
 
@@ -65,6 +72,7 @@ QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_pii_spans": op2_pii_spans,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
