@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -53,6 +54,13 @@ def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_dedup
+
+    deduped = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score, train
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op5_weak_label_quality": op5_weak_label_quality,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_binary": op10_token_binary,
 }
