@@ -245,18 +245,30 @@ class _Words(dict):
         return found
 
 
+_CODECS: dict[str, PieceCodec] = {}
+
+
+def codec_of(shared) -> PieceCodec:
+    """The worker's codec for a broadcast model: tasks that a worker runs one after another share what it has learnt."""
+    path, model = shared.value
+    if path not in _CODECS:
+        _CODECS.clear()
+        _CODECS[path] = PieceCodec(model)
+    return _CODECS[path]
+
+
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs with the columns ids (array<int>) and decoded (string) in place of columns of those names.
+    """docs with the columns ids (array<int>) and decoded (string) in place of text and of columns of those names.
 
     Every whole text is encoded as the library encodes it, without begin and end ids, and the ids are decoded again. Null
     and empty texts have no ids and decode to the empty text. Rows, repeated ones included, come back one for one.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(load_model(model_path))
-    others = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    model = spark.sparkContext.broadcast((model_path, load_model(model_path)))
+    others = [c for c in docs.columns if c.lower() not in ("text", "ids", "decoded")]
 
     def run(batches):
-        codec = PieceCodec(model.value)
+        codec = codec_of(model)
         for batch in batches:
             ids = [codec.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())]
@@ -270,10 +282,10 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of docs; ids never leave the worker."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(load_model(model_path))
+    model = spark.sparkContext.broadcast((model_path, load_model(model_path)))
 
     def run(batches):
-        codec = PieceCodec(model.value)
+        codec = codec_of(model)
         decimal = [str(i) for i in range(len(codec.names))].__getitem__
         for batch in batches:
             count, digest, back = [], [], []

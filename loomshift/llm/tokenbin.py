@@ -17,6 +17,7 @@ import os
 import re
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,11 @@ from .common import scratch
 #: Ids a word holds by selector, and the bits of each.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: By the bits of an id, the least bits of a selector that hold it.
+WIDTH_OF = np.array([min((b for b in BITS[1:].tolist() if b >= n), default=64) for n in range(66)], np.uint8)
 MAGIC, END = b"LSW1\0\0\0\0", b"LSW1END."
 BLOCK = 65536
-KEPT_CHUNKS, KEPT_LENGTH = 200_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 500_000, 48
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -40,10 +43,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     # The most ids that fit from each place on: selectors in falling order of bits, the densest that fits wins.
-    width = np.zeros(n, np.uint8)
-    for b in sorted(set(BITS[1:].tolist()), reverse=True):
-        width[ids < np.uint64(1 << b)] = b
-    width[ids >= np.uint64(1 << 60)] = 64
+    width = WIDTH_OF[np.frexp(ids.astype(np.float64))[1]]  # rounding may widen ids beyond 2^53, which still decode
     choice = np.zeros(n, np.uint8)
     choice[width <= 60] = len(COUNTS) - 1
     for selector in range(len(COUNTS) - 2, 0, -1):
@@ -259,6 +259,12 @@ class ChunkEncoder:
                     self.known.pop(c, None)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(model: str) -> ChunkEncoder:
+    """The worker's encoder: tasks that a worker runs one after another share what it has learnt."""
+    return ChunkEncoder(model)
+
+
 def write_token_files(docs: DataFrame, model_path: str, folder: str, end_id: int | None = 1) -> list[tuple]:
     """Write the ids of docs (doc_id, text) in ascending doc_id order, null ids first, as files in ``folder``.
 
@@ -277,7 +283,7 @@ def write_token_files(docs: DataFrame, model_path: str, folder: str, end_id: int
         encoder, out, path = None, None, ""
         for batch in batches:
             if out is None:
-                encoder = ChunkEncoder(model.value)
+                encoder = encoder_of(model.value)
                 path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.lsw"
                 system, inner = open_fs(path)
                 system.create_dir(inner.rpartition("/")[0], recursive=True)

@@ -105,21 +105,24 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, n_columns: int
     return weights, raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:]))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents that have a label; of contrary labels the highest counts."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """(id, text, toxic) of labelled documents; of contrary labels the highest counts.
+
+    The labels are those ``rows`` with the smallest hash of their id, so they are broadcast and no text is shuffled.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(marks, "id")
+    few = cut(marks.orderBy(F.xxhash64("id"), "id").limit(rows))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "id")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_features: int = MAX_FEATURES, min_support: int = 3) -> OrdinalModel:
-    """Fit on the labelled documents.
+    """Fit on at most ``fit_rows`` labelled documents, those with the smallest hash of their id.
 
-    Features are chosen over all labelled documents: words and stems that toxic documents have significantly more often.
-    Toxic documents are graded 1 to 3 by how many of their words bear such a feature, in terciles; others are 0. The
-    weights are fitted on at most ``fit_rows`` labelled documents, those with the smallest hash of their id. Without
-    labels the model has no features and calls nothing toxic.
+    Features are words and stems that toxic documents have significantly more often.
+    Toxic documents are graded 1 to 3 by how many of their words bear such a feature, in terciles; others are 0.
+    Without labels of both kinds the model has no features and calls nothing toxic.
     """
-    marked = labelled(docs, labels)
+    marked = labelled(docs, labels, fit_rows)
 
     def count(batches):
         counts: tuple[Counter, Counter] = Counter(), Counter()
@@ -201,3 +204,18 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> DataF
 
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return frame.mapInArrow(run, f"{schema}, p_toxic double, expected_severity double, grade int, toxic boolean")
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, whose P(grade >= 1) is under reject_at."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches):
+        m = shared.value
+        known = _Known({f: i for i, f in enumerate(m.features)})
+        for batch in batches:
+            rows = [sparse_row(t, known, len(m.features))[0] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(m.at_least(rows)[:, 0] < reject_at)) if rows else batch
+
+    return docs.mapInArrow(run, docs.schema)
