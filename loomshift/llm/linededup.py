@@ -9,13 +9,12 @@ their first words. Length and position filters thin both, verified similarities
 
 from __future__ import annotations
 
-import gc
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, cut, delete_path, scratch
+from .common import SPACE_SQL, cut, delete_path, scratch, tidy_shuffles
 
 SHARED = 3
 #: Buckets of the words' frequencies, and the steps to a doubling that rarity tells apart.
@@ -23,12 +22,6 @@ BUCKETS, STEPS = 1 << 15, 4
 HASH_BITS = 56
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that are gone."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def word_set(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, SPACE_SQL), lambda w: w != ""))
 
@@ -98,28 +91,32 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3) -> D
     """(doc, line) of the lines of at least min_words different words that stay: of each set the first line, if no earlier
     line's set has a similarity of threshold or more. Lines stand in order of doc_id and place."""
     spark = docs.sparkSession
-    lines = lines_of(docs)
-    path = scratch(spark, "line-classes")
-    class_firsts(lines, rarity_levels(lines), threshold, min_words).write.parquet(path)
-    release(spark)
-    classes = spark.read.parquet(path)
-    earlier = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = prefixes(classes)
-    for c in ("doc", "line", "size", "pos"):
-        rows = rows.withColumn(f"x_{c}", F.first(c).over(earlier))
-    led = cut(counted(rows.where("doc <> x_doc or line <> x_line"), threshold))
-    release(spark)
-    gone = cut(verified(docs, led, threshold))
-    release(spark)
-    open_rows = prefixes(classes.join(gone, ["doc", "line"], "left_anti"))
-    others = prefixes(classes).select("word", *(F.col(c).alias(f"x_{c}") for c in ("doc", "line", "size", "pos")))
-    met = open_rows.join(others, "word").where("x_doc < doc or x_doc = doc and x_line < line")
-    rest = cut(counted(met, threshold))
-    release(spark)
-    gone = gone.union(cut(verified(docs, rest, threshold)))
-    kept = cut(classes.select("doc", "line").join(gone, ["doc", "line"], "left_anti"))
-    delete_path(spark, path)
-    release(spark)
+    with tidy_shuffles(spark):
+        lines = lines_of(docs)
+        path = scratch(spark, "line-classes")
+        class_firsts(lines, rarity_levels(lines), threshold, min_words).write.parquet(path)
+        classes = spark.read.parquet(path).where("doc is not null and line is not null and size is not null")
+        earlier = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = prefixes(classes)
+        for c in ("doc", "line", "size", "pos"):
+            rows = rows.withColumn(f"x_{c}", F.first(c).over(earlier))
+        led = cut(counted(rows.where("doc <> x_doc or line <> x_line"), threshold))
+        gone = cut(verified(docs, led, threshold))
+        # Both sides of the join are the same rows, so they are shuffled once. Settled classes have a negative size: they
+        # match nothing themselves. The condition takes columns of both sides, which keeps the sides alike.
+        marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left").select("doc", "line", F.when(F.col("gone"), -F.col("size")).otherwise(F.col("size")).alias("size"), "first")
+        marked_path = scratch(spark, "line-marks")
+        marked.write.parquet(marked_path)
+        rows = prefixes(spark.read.parquet(marked_path).where("doc is not null and line is not null and size is not null"))
+        met = rows.alias("y").join(rows.alias("x"), F.col("y.word") == F.col("x.word"))
+        own = F.when(F.col("y.size") > 0, F.col("y.doc"))
+        met = met.where((F.col("x.doc") < own) | ((F.col("x.doc") == own) & (F.col("x.line") < F.col("y.line"))))
+        met = met.select(*(F.col(f"y.{c}") for c in ("doc", "line", "size", "pos")), *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc", "line", "size", "pos")))
+        rest = cut(counted(met.withColumn("x_size", F.abs("x_size")), threshold))
+        late = cut(verified(docs, rest, threshold))
+        kept = cut(classes.select("doc", "line").join(gone.union(late), ["doc", "line"], "left_anti"))
+        delete_path(spark, path)
+        delete_path(spark, marked_path)
     return kept
 
 
