@@ -59,8 +59,13 @@ def class_firsts(lines: DataFrame, levels: Column, threshold: float, min_words:
     return sets.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc", "line", "size", "first")
 
 
-def prefixes(classes: DataFrame) -> DataFrame:
-    return classes.select(F.posexplode("first").alias("pos", "word"), "doc", "line", "size")
+def prefixes(classes: DataFrame, *more: str) -> DataFrame:
+    return classes.select(F.posexplode("first").alias("pos", "word"), "doc", "line", "size", *more)
+
+
+def bits_of(half: int) -> Column:
+    """Half of a 128-bit set of the first words. Two lines share at least as many bits as words, less those that either loses to words of equal bit."""
+    return F.expr(f"aggregate(first, 0L, (bits, w) -> bits | if((w & 64) = {64 * half}, shiftleft(1L, cast(w & 63 as int)), 0L))")
 
 
 def passes(threshold: float) -> Column:
@@ -105,12 +110,15 @@ def kept_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3) -> D
         # Both sides of the join are the same rows, so they are shuffled once. Settled classes have a negative size: they
         # match nothing themselves. The condition takes columns of both sides, which keeps the sides alike.
         marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left").select("doc", "line", F.when(F.col("gone"), -F.col("size")).otherwise(F.col("size")).alias("size"), "first")
+        marked = marked.withColumns({"bits0": bits_of(0), "bits1": bits_of(1)}).withColumn("lost", F.size("first") - F.bit_count("bits0") - F.bit_count("bits1"))
         marked_path = scratch(spark, "line-marks")
         marked.write.parquet(marked_path)
-        rows = prefixes(spark.read.parquet(marked_path).where("doc is not null and line is not null and size is not null"))
+        rows = prefixes(spark.read.parquet(marked_path).where("doc is not null and line is not null and size is not null"), "bits0", "bits1", "lost")
         met = rows.alias("y").join(rows.alias("x"), F.col("y.word") == F.col("x.word"))
         own = F.when(F.col("y.size") > 0, F.col("y.doc"))
         met = met.where((F.col("x.doc") < own) | ((F.col("x.doc") == own) & (F.col("x.line") < F.col("y.line"))))
+        shared_bits = sum((F.bit_count(F.col(f"y.{b}").bitwiseAND(F.col(f"x.{b}"))) for b in ("bits0", "bits1")), F.lit(0))
+        met = met.where(shared_bits >= SHARED - F.least("y.lost", "x.lost"))
         met = met.select(*(F.col(f"y.{c}") for c in ("doc", "line", "size", "pos")), *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc", "line", "size", "pos")))
         rest = cut(counted(met.withColumn("x_size", F.abs("x_size")), threshold))
         late = cut(verified(docs, rest, threshold))
