@@ -33,7 +33,7 @@ BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 WIDTH_OF = np.array([min((b for b in BITS[1:].tolist() if b >= n), default=64) for n in range(66)], np.uint8)
 MAGIC, END = b"LSW1\0\0\0\0", b"LSW1END."
 BLOCK = 65536
-KEPT_CHUNKS, KEPT_LENGTH = 500_000, 48
+KEPT_CHUNKS, KEPT_LENGTH = 900_000, 48
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ class ChunkEncoder:
                 yield np.frombuffer(self._one(text or "") + tail, "<u4")
                 continue
             chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            missing = list({c for c in chunks if c not in self.known})
+            missing = list(set(chunks).difference(self.known))
             if missing:
                 if len(self.known) > KEPT_CHUNKS:
                     self.known = {c: self.known[c] for c in chunks if c in self.known}
