@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line of any document resembles go; n_chars follows the text."""
-    kept = linededup.line_dedup(docs)
+    kept = linededup.line_dedup(docs, min_words=1)
     columns = {c: F.length("text").cast(t).alias(c) for c, t in docs.dtypes if c == "n_chars"}
     return kept.select(*(columns.get(c, F.col(f"`{c}`")) for c in docs.columns))
 

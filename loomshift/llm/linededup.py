@@ -60,7 +60,8 @@ def class_firsts(lines: DataFrame, levels: Column, threshold: float, min_words:
 
 
 def prefixes(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select(F.posexplode("first").alias("pos", "word"), "doc", "line", "size", *more)
+    """One row for each first word of the classes of ``SHARED`` words or more; smaller ones match nothing but their equals."""
+    return classes.where(F.size("first") >= SHARED).select(F.posexplode("first").alias("pos", "word"), "doc", "line", "size", *more)
 
 
 def bits_of(half: int) -> Column:
@@ -132,7 +133,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8, min_words: int = 3) -> D
     """docs with the later of similar lines taken out of text, and with n_lines and n_removed_lines.
 
     Lines are parted by \\n; a word is a run of other characters than the six ASCII blanks. Lines of fewer than min_words
-    different words always stay. A text that loses all its lines becomes empty; null texts and rows without doc_id stay as
+    different words always stay; with min_words=1 these are the lines without words. The threshold is above 2/3. A text that loses all its lines becomes empty; null texts and rows without doc_id stay as
     they are. Rows that share a doc_id share the decisions for their lines. Columns named like the added ones are replaced.
     """
     payload = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines")]

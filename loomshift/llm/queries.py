@@ -57,7 +57,7 @@ def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup
 
-    deduped = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    deduped = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return deduped.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -1,11 +1,14 @@
+import hashlib
 import random
 import re
 
 import numpy as np
 
+import corpus_pipeline
 from loomshift.llm.components import connected_components
 from loomshift.llm.embeddings import embedding_near_dedup
 from loomshift.llm.linededup import line_dedup
+from loomshift.llm.queries import QUERIES
 from loomshift.llm.simhash import fingerprint, simhash_components, simhash_dedup
 
 
@@ -100,3 +103,12 @@ def test_lines_against_all_pairs(spark, docs):
     assert {d: r["text"] for d, r in found.items()} == wanted
     assert sum(r["n_removed_lines"] for r in found.values()) == sum((t or "").count("\n") + 1 for d, t in rows if t is not None) - sum(r["n_lines"] - r["n_removed_lines"] for r in found.values() if r["text"] is not None)
     assert line_dedup(docs([])).count() == 0
+
+
+def test_query_and_stage_settle_short_lines(spark, docs, tmp_path):
+    rows = [(1, "Read more\nonly\n\nhttps://a.example/x"), (2, "more  Read\n \nonly only\nRead less"), (3, "https://a.example/x\n\u9019\u662f\u4e00\u53e5\u8a71\n\u9019\u662f\u4e00\u53e5\u8a71\nRead more now"), (4, "Read more\n")]
+    wanted = {1: rows[0][1], 2: " \nRead less", 3: "\u9019\u662f\u4e00\u53e5\u8a71\nRead more now", 4: ""}
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["n_removed_lines"], r["text_sha256"]) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {d: (t.count("\n") + 1 - len(wanted[d].split("\n")), hashlib.sha256(wanted[d].encode()).hexdigest()) for d, t in rows}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(rows), "").collect()} == wanted
