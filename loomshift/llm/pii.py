@@ -12,6 +12,8 @@ import hashlib
 import math
 import random
 import re
+from collections import deque
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of a segment and characters of a window at most.
-MAX_TOKENS, MAX_WINDOW = 24, 160
+#: Tokens and characters of a segment at most. A window has no bound of its own.
+MAX_TOKENS, MAX_SPAN = 24, 160
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -67,7 +69,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\S\n]+|[^A-Za-z0-9]")
 #: Where a window may lie: around seven digits or more with marks between, or around a written-out or bare at sign.
-NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/]{0,2}[0-9]){6,}")
+NUMBERS = re.compile(r"[+(]{0,2}[0-9](?:[ ().\-/]{0,3}[0-9]){6,}")
 AT = re.compile(r"@|[(\[] ?(?:at|AT) ?[)\]]")
 WORDS_BEFORE = {"phone": ("tel", "phone", "call", "mobile", "fax", "cell", "ring"), "card": ("card", "visa", "mastercard", "amex", "credit"), "ip": ("ip", "host", "server", "address"), "email": ("mail", "email", "contact", "write")}
 
@@ -83,7 +85,7 @@ def _features(span: str, whole: bool, hints: tuple[str, ...]) -> tuple[str, ...]
     digits = re.sub(r"[^0-9]", "", span)
     n = len(digits)
     has_at = AT.search(span)
-    if (n < 7 and not has_at) or span[0].isspace() or span[-1].isspace() or len(span) > MAX_WINDOW:
+    if (n < 7 and not has_at) or span[0].isspace() or span[-1].isspace() or len(span) > MAX_SPAN:
         return ()
     marks = "".join(sorted(set(re.sub(r"[A-Za-z0-9]", "", span))))
     letters = sum(map(str.isalpha, span))
@@ -107,10 +109,16 @@ class SpanField:
 
     def segments(self, tokens: list[str], lead: str) -> list[list[tuple[int, tuple[str, ...]]]]:
         """For each end, the (start, features) of the segments that could be entities."""
-        ends: list[list[tuple[int, tuple[str, ...]]]] = [[] for _ in range(len(tokens) + 1)]
+        return list(self.segments_by_end(tokens, lead))
+
+    def segments_by_end(self, tokens: list[str], lead: str) -> Iterator[list[tuple[int, tuple[str, ...]]]]:
+        """The same end by end, holding no more than the ends that a segment can reach."""
+        ends: deque[list[tuple[int, tuple[str, ...]]]] = deque([] for _ in range(MAX_TOKENS + 1))
         digits = [len(t) if t[0] in "0123456789" else 0 for t in tokens]
         signs = [t == "@" or t in "([" and "".join(tokens[k + 1 : k + 3]).strip().lower()[:2] == "at" for k, t in enumerate(tokens)]
         for i, token in enumerate(tokens):
+            yield ends.popleft()
+            ends.append([])  # ends[0] is now that of i + 1
             if not (token.isalnum() or token in "+("):
                 continue
             before, n, m = None, 0, 0
@@ -123,8 +131,8 @@ class SpanField:
                 if before is None:
                     before = (lead + "".join(tokens[max(0, i - 12) : i]))[-24:].lower()
                 if (found := span_features(tokens, i, j, before)):
-                    ends[j].append((i, found))
-        return ends
+                    ends[j - i - 1].append((i, found))
+        yield ends.popleft()
 
     def score(self, found: tuple[str, ...], kind: str) -> float:
         get = self.weights.get
@@ -134,7 +142,7 @@ class SpanField:
         """The best segmentation's entities, as token spans."""
         n = len(tokens)
         top, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j, starts in enumerate(self.segments(tokens, lead)):
+        for j, starts in enumerate(self.segments_by_end(tokens, lead)):
             if j:
                 top[j], back[j] = top[j - 1], None
             for i, found in starts:
@@ -240,21 +248,29 @@ def trained(n: int = 700, rounds: int = 12, seed: int = 42, l2: float = 1e-3) ->
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of the text that can hold an entity, merged where they meet."""
-    found = []
-    for m in NUMBERS.finditer(text):
-        for start in range(m.start(), m.end(), MAX_WINDOW):  # a longer run of numbers is looked at piece by piece
-            found.append((start, min(m.end(), start + MAX_WINDOW)))
+    """Stretches of the text that can hold an entity, merged where they meet and as long as they get.
+
+    An at sign's stretch has all that a segment with it can cover. Stretches begin and end between tokens.
+    """
+    found = [m.span() for m in NUMBERS.finditer(text)]
     for m in AT.finditer(text):
-        found.append((max(0, m.start() - 40), min(len(text), m.end() + 60)))
+        found.append((max(0, m.start() - MAX_SPAN), min(len(text), m.end() + MAX_SPAN)))
     found.sort()
     out: list[tuple[int, int]] = []
     for a, b in found:
-        if out and a <= out[-1][1] and b - out[-1][0] <= MAX_WINDOW:
+        while 0 < a and _one_token(text[a - 1], text[a]):
+            a -= 1
+        while b < len(text) and _one_token(text[b - 1], text[b]):
+            b += 1
+        if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append((max(a, out[-1][1]) if out else a, b))
-    return [(a, b) for a, b in out if a < b]
+            out.append((a, b))
+    return out
+
+
+def _one_token(x: str, y: str) -> bool:
+    return len(TOKEN.match(x + y)[0]) == 2
 
 
 def field_spans(text: str, field: SpanField) -> dict[str, list[tuple[int, int]]]:

@@ -77,6 +77,15 @@ def test_pii_base_and_added_spans(spark, docs):
     assert right >= 380
 
 
+def test_pii_windows_hold_long_runs_whole():
+    field = pii.trained()
+    for kind, parts, sep in (("email", [f"user{c} (at) host{c} (dot) com" for c in "abcdefghij" * 3], ", "), ("phone", ["555-123-4567"] * 60, " "), ("phone", ["212 - 555 - 0123"], ""), ("email", ["christopher.alexander.montgomery.featherstone (at) host (dot) com"], "")):
+        text = "reach " + sep.join(parts)
+        assert [text[a:b] for a, b in pii.field_spans(text, field)[kind]] == parts
+    tokens = pii.TOKEN.findall(text)
+    assert pii.windows(text) == [(0, len(text))] and list(field.segments_by_end(tokens, "")) == field.segments(tokens, "")
+
+
 def test_quality_base_against_brute_force(spark, docs):
     pick = random.Random(8)
     rows = EDGES + [(100 + k, "\n".join(" ".join(pick.choice("a b c d e f g# h|".split()) for _ in range(pick.randint(0, 9))) for _ in range(pick.randint(1, 8)))) for k in range(60)]
