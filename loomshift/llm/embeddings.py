@@ -185,18 +185,21 @@ def embedding_near_dedup(vectors: DataFrame, min_cosine: float = 0.9, id_col: st
     n_links counts the other rows whose cosine with this one, in double precision, is at least min_cosine; component_id is
     the smallest id that links reach, the row's own included; kept marks vec_id = component_id. Vectors that are null,
     empty or zero, hold null or non-finite components, or have no id, link with nothing; without an id the component is null
-    and the row not kept. Equal vectors link with each other; repeated rows count as rows. Other columns are ignored; an
+    and the row not kept. Equal vectors link with each other; repeated rows count as rows, and rows of one id
+    with different vectors are judged on their own. Other columns are ignored; an
     empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("vec", F.when(F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("vec"))).withColumn("hash", F.xxhash64("vec"))
     valid = rows.where("vec is not null")
-    named = cut(valid.groupBy("hash", "vec").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")))
+    # classes have numbers of their own, as an id may come with several vectors; the checkpoint keeps the numbers
+    named = cut(valid.groupBy("hash", "vec").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id()))
     packed = cut(_packed(named.select("node", "weight", "vec")))
     links, edges = range_join(packed, min_cosine)
     found = named.join(links, "node", "left").join(connected_components(edges).withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    found = found.select("hash", "vec", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    found = found.select("hash", "vec", "least_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    found = found.join(found.groupBy("component").agg(F.min("least_id").alias("component_id")), "component").drop("least_id", "component")
     out = rows.join(found, ["hash", "vec"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -70,6 +70,16 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.99, 0.1, 0.0]), (1, [0.0, 0.0, 1.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 0.1, 1.0]), (3, [0.0, 0.1, 1.0]), (4, [0.0, 1.0, 0.0]), (0, [0.0, 1.0, 0.01])]
+    links = lambda k: [m for m in range(len(rows)) if m != k and np.dot(rows[k][1], rows[m][1]) >= 0.9 * np.linalg.norm(rows[k][1]) * np.linalg.norm(rows[m][1])]
+    top = roots(range(len(rows)), [(k, m) for k in range(len(rows)) for m in links(k)])
+    least = {t: min(rows[k][0] for k in top if top[k] == t) for t in top.values()}
+    wanted = sorted((rows[k][0], len(links(k)), least[top[k]], rows[k][0] == least[top[k]]) for k in top)
+    found = embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in found) == wanted
+
+
 def test_lines_against_all_pairs(spark, docs):
     pick = random.Random(6)
     words = [f"w{k}" for k in range(300)]
