@@ -64,6 +64,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, columns: list[str], **more) -> DataFrame:
+    """``columns`` of docs as one struct, payload, and ``more`` beside it: no name of docs can meet an inner one."""
+    return docs.select(F.struct(*(F.col(quoted(c)) for c in columns)).alias("payload"), *(x.alias(name) for name, x in more.items()))
+
+
+def field(column: str):
+    """A column out of the payload, under its own name."""
+    return F.col("payload").getField(column).alias(column)
+
+
 def words_column(text) -> F.Column:
     """Array of the words of a text column; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_SQL), lambda w: w != "")

@@ -1,10 +1,11 @@
 """Line deduplication by an exact set-similarity join, with DataFrame operations only.
 
-A line is the set of its words. Words are put in order of rarity; two sets of Jaccard similarity t or more share at least
-``SHARED`` of their first words, as many as their sizes allow them to differ in plus ``SHARED``. Lines of equal sets are
-one class. Candidates come in two steps: first each class against the earliest class of each of its first words, which
-settles groups of near copies in one comparison a member; then those still standing against all earlier classes that share
-their first words. Length and position filters thin both, verified similarities decide, and later matches are removed.
+A line is the set of its words, put in one order over the whole corpus: rarest first. Two sets of Jaccard similarity t or
+more share one of their first words, as many as they may differ in and one more. Lines of equal sets are one class. Candidate
+classes come in two steps: each class against the earliest class of each of its very first words, which settles groups of
+near copies in a few comparisons a member; then those still standing against all classes that share one of their first
+words. Length and position filters and the parities of the sets thin both before anything is shuffled again, the words
+themselves decide, and the later of two matching classes is removed.
 """
 
 from __future__ import annotations
@@ -14,134 +15,176 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, cut, delete_path, scratch, tidy_shuffles
+from .common import SPACE_SQL, cut, delete_path, field, packed, scratch, tidy_shuffles
 
-SHARED = 3
-#: Buckets of the words' frequencies, and the steps to a doubling that rarity tells apart.
-BUCKETS, STEPS = 1 << 15, 4
-HASH_BITS = 56
+#: Counters of words, how many of them a driver row holds, and the steps to a doubling that rarity tells apart.
+COUNTERS, ROW, STEPS = 1 << 18, 1 << 9, 2
+#: A rank has 6 bits of rarity above these bits of the word's hash.
+HASH_BITS = 57
+#: How many of a class's first words lead it to an earlier class in the first step.
+LEADS = 2
+OTHER_BLANKS = "[\\x09-\\x0D]"
+SLACK = 1e-9
 
 
-def word_set(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, SPACE_SQL), lambda w: w != ""))
+def words_of(line: Column) -> Column:
+    """The words of a line, repeats included; the plain split where no blank is anything but a space."""
+    return F.array_remove(F.when(line.rlike(OTHER_BLANKS), F.split(line, SPACE_SQL)).otherwise(F.split(line, " ")), "")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc, line, words) of every line of the rows that have an id."""
-    lines = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line", "raw"))
-    return lines.select("doc", "line", word_set(F.col("raw")).alias("words"))
+def counter_of(*values: Column) -> Column:
+    return F.hash(*values).bitwiseAND(F.lit(COUNTERS - 1))
 
 
-def rarity_levels(lines: DataFrame) -> Column:
-    """A constant array: by the bucket of a word's hash, how frequent the bucket's words are in all lines.
+def characters(marks: DataFrame) -> str:
+    """One character for each counter, from (at, mark) with one mark a counter. The driver reads COUNTERS / ROW rows."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "mark"))), lambda x: x["mark"])
+    rows = marks.groupBy(F.shiftright("at", int(math.log2(ROW))).alias("row")).agg(F.array_join(in_order, "").alias("marks")).collect()
+    return "".join(r["marks"] for r in sorted(rows, key=lambda r: r["row"]))
 
-    Any one order of words gives an exact join; this only makes it a cheap one. The array has a fixed number of entries.
-    """
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS))
-    counts = lines.select(F.explode("words").alias("word")).groupBy(bucket.alias("bucket")).count().collect()
-    levels = [0] * BUCKETS
-    for at, n in counts:
-        levels[at] = min(126, int(STEPS * math.log2(n)) + 1)
-    return F.from_json(F.lit(str(levels).replace(" ", "")), "array<int>")
-
-
-def least_overlap(size: Column, threshold: float) -> Column:
-    return F.ceil(F.lit(threshold) * size - 1e-9).cast("int")
-
-
-def class_firsts(lines: DataFrame, levels: Column, threshold: float, min_words: int) -> DataFrame:
-    """The first line of each set of words: (doc, line, size, first), first being its rarest words in order."""
-    mask = (1 << HASH_BITS) - 1
-    rank = lambda w: F.shiftleft(levels[F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")].cast("long"), HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(mask)))
-    sets = lines.select("doc", "line", F.size("words").alias("size"), F.sort_array(F.transform("words", rank)).alias("ranked")).where(F.col("size") >= min_words)
-    sets = sets.select("doc", "line", "size", F.xxhash64("ranked").alias("h1"), F.xxhash64(F.lit(7), "ranked").alias("h2"), F.slice("ranked", F.lit(1), F.col("size") - least_overlap(F.col("size"), threshold) + SHARED).alias("first"))
-    order = Window.partitionBy("h1", "h2", "size").orderBy("doc", "line")
-    return sets.withColumn("n", F.row_number().over(order)).where("n = 1").select("doc", "line", "size", "first")
 
+def counted(counts: DataFrame) -> DataFrame:
+    """(at, n) of every counter, from counts (at, n) of some."""
+    every = counts.sparkSession.range(0, COUNTERS, 1, 8).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("n"))
+    return counts.union(every).groupBy("at").agg(F.sum("n").alias("n"))
 
-def prefixes(classes: DataFrame, *more: str) -> DataFrame:
-    """One row for each first word of the classes of ``SHARED`` words or more; smaller ones match nothing but their equals."""
-    return classes.where(F.size("first") >= SHARED).select(F.posexplode("first").alias("pos", "word"), "doc", "line", "size", *more)
 
+def rarity(docs: DataFrame) -> Column:
+    """A constant array: by a word's counter, its rarity, shifted to where it stands in a rank.
 
-def bits_of(half: int) -> Column:
-    """Half of a 128-bit set of the first words. Two lines share at least as many bits as words, less those that either loses to words of equal bit."""
-    return F.expr(f"aggregate(first, 0L, (bits, w) -> bits | if((w & 64) = {64 * half}, shiftleft(1L, cast(w & 63 as int)), 0L))")
-
-
-def passes(threshold: float) -> Column:
-    """The length and position filters for y (doc, line, size, pos) and x (x_doc, ...)."""
-    small, large = F.least("size", "x_size"), F.greatest("size", "x_size")
-    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("x_size")) - 1e-9)
-    most = F.least(F.col("pos"), F.col("x_pos")) + 1 + F.least(F.col("size") - F.col("pos"), F.col("x_size") - F.col("x_pos")) - 1
-    return (small >= F.lit(threshold) * large - 1e-9) & (most >= need)
-
+    Counted over all texts. Words of one hash share a counter, and what other blanks than spaces and line ends part counts
+    as one word: that makes the order of words rougher, but any order gives an exact join. The number of counters is fixed,
+    and the driver holds one character for each.
+    """
+    spaced = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    counts = docs.select(F.explode(spaced).alias("word")).groupBy(counter_of(F.col("word")).alias("at")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1) * STEPS)).cast("int")
+    shifted = [(ord(c) - 33) << HASH_BITS for c in characters(counted(counts).select("at", F.char(level + 33).alias("mark")))]
+    return F.from_json(F.lit(str(shifted).replace(" ", "")), "array<bigint>")
 
-def counted(pairs: DataFrame, threshold: float) -> DataFrame:
-    found = pairs.where(passes(threshold)).groupBy("doc", "line", "x_doc", "x_line").agg(F.count("*").alias("n"))
-    return found.where(F.col("n") >= SHARED).drop("n")
 
+def among(places: DataFrame) -> Column:
+    """A condition that holds for (doc, row) of places, and for few others while these are few: its size is fixed."""
+    marks = counted(places.groupBy(counter_of(F.col("doc"), F.col("row")).alias("at")).agg(F.count("*").alias("n")))
+    given = characters(marks.select("at", F.when(F.col("n") > 0, "1").otherwise("0").alias("mark"))).encode()
+    return F.substring(F.lit(given), counter_of(F.col("doc"), F.col("row")) + 1, 1) == F.lit(b"1")
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The distinct (doc, line) of the pairs whose words' Jaccard similarity is at least the threshold."""
-    wanted = pairs.select("doc", "line").union(pairs.select("x_doc", "x_line")).groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
-    texts = texts.join(wanted, "doc").select("doc", F.explode("wanted").alias("line"), "lines").where(F.col("line") < F.size("lines"))
-    sets = texts.select("doc", "line", word_set(F.col("lines")[F.col("line")]).alias("words"))
-    met = pairs.join(sets, ["doc", "line"]).join(sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words")), ["x_doc", "x_line"])
-    both = F.size(F.array_intersect("words", "x_words"))
-    return met.where(both >= F.lit(threshold) * (F.size("words") + F.size("x_words") - both) - 1e-9).select("doc", "line").distinct()
 
+def line_classes(docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
+    """The first line of each set of words, the empty one included: (doc, row, line, size, first, both, odd).
 
-def kept_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 3) -> DataFrame:
-    """(doc, line) of the lines of at least min_words different words that stay: of each set the first line, if no earlier
-    line's set has a similarity of threshold or more. Lines stand in order of doc_id and place."""
+    first: the ranks of which two similar sets share one. both, odd: how many words are in each of 128 groups, modulo two.
+    Sets are told apart by 128 bits of hash over the 63 bits of their words' ranks.
+    """
+    lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    rank = lambda w: levels[counter_of(w)].bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    sets = lines.select("doc", "row", "line", F.sort_array(F.array_distinct(F.transform(words_of(F.col("raw")), rank))).alias("ranked"))
+    # Each word counts in one of 128 groups: 64 by the distance of the shift, which takes its lowest six bits, twice by the
+    # word's last bit. `both` has both halves in one, which costs less than a test of the bit.
+    parity = lambda one: F.expr(f"aggregate(ranked, 0L, (bits, w) -> bits ^ shiftleft({one}, cast(w >>> 32 as int)))")
+    size = F.size("ranked")
+    first = F.slice("ranked", F.lit(1), size - F.ceil(F.lit(threshold) * size - SLACK).cast("int") + 1)
+    columns = [size.alias("size"), F.xxhash64("ranked").alias("h1"), F.xxhash64(F.lit(7), "ranked").alias("h2"), first.alias("first"), parity("1L").alias("both"), parity("w & 1L").alias("odd")]
+    order = Window.partitionBy("h1", "h2", "size").orderBy("doc", "row", "line")
+    return sets.select("doc", "row", "line", *columns).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "h1", "h2")
+
+
+def prefixes(classes: DataFrame, threshold: float, *columns: str, most: int | None = None) -> DataFrame:
+    """One row for each first word (or each of the ``most`` very first) of the classes that may resemble any other."""
+    able = classes.where(F.floor(F.col("size") / F.lit(threshold) + SLACK) > F.col("size"))
+    first = F.col("first") if most is None else F.slice("first", 1, most)
+    return able.select(F.posexplode(first).alias("pos", "word"), "id", "size", "both", "odd", *columns)
+
+
+def alike(y: str, x: str, threshold: float) -> Column:
+    """What rows y and x of one word must meet if their sets are similar and the word is the first that both have."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    sizes = of(y, "size") + of(x, "size")
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * sizes - SLACK)
+    length = F.least(of(y, "size"), of(x, "size")) >= F.lit(threshold) * F.greatest(of(y, "size"), of(x, "size")) - SLACK
+    position = F.least(of(y, "size") - of(y, "pos"), of(x, "size") - of(x, "pos")) >= need
+    odd, both = (of(y, c).bitwiseXOR(of(x, c)) for c in ("odd", "both"))
+    differ = F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(both))  # a word that only one set has changes one group
+    return length & (differ <= sizes - 2 * need) & position
+
+
+def flags_of(lines: Column) -> Column:
+    """A sorted array of line numbers as bytes: the byte of a line that is listed is 1. Looking one up takes no search."""
+    gap = lambda n, k: n - F.when(k > 0, F.get(lines, k - 1)).otherwise(F.lit(-1)) - 1
+    return F.array_join(F.transform(lines, lambda n, k: F.concat(F.repeat(F.lit("0"), gap(n, k)), F.lit("1"))), "").cast("binary")
+
+
+def flagged(flags: str, line: Column) -> Column:
+    return F.substring(F.col(flags), line + 1, F.lit(1)) == F.lit(b"1")
+
+
+def removed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(id) of the later class of each pair (a, b) of which the words have a similarity of the threshold or more."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    places = classes.select("id", "doc", "row", "line").join(ids, "id", "left_semi")
+    places = cut(places)
+    wanted = places.groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct("line", "id"))).alias("wanted"))
+    wanted = wanted.withColumn("lines", F.transform("wanted", lambda x: x["line"])).select("doc", "row", "wanted", flags_of(F.col("lines")).alias("flags"))
+    texts = docs.where(among(places)).join(wanted, ["doc", "row"])
+    raw = F.filter(F.split("text", "\n"), lambda _, k: flagged("flags", k))
+    one = texts.select("doc", "row", F.explode(F.arrays_zip(F.col("wanted"), raw.alias("raw"))).alias("x"))
+    place = F.struct("doc", "row", F.col("x.wanted.line").alias("line"))
+    sets = cut(one.select(F.col("x.wanted.id").alias("id"), place.alias("place"), F.array_distinct(words_of(F.col("x.raw"))).alias("words")))
+    side = lambda s: sets.select(F.col("id").alias(s), F.struct("place", "words").alias(f"of_{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("of_a.words", "of_b.words"))
+    sure = both >= F.lit(threshold) * (F.size("of_a.words") + F.size("of_b.words") - both) - SLACK
+    return met.where(sure).select(F.when(F.col("of_a.place") > F.col("of_b.place"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+
+
+def kept_lines(docs: DataFrame, threshold: float) -> DataFrame:
+    """(doc, row, line) of the lines with words that stay, for docs (doc, row, text) without nulls: of each set the first
+    line, if no earlier line's set resembles it. Lines stand in order of doc, row and place."""
     spark = docs.sparkSession
     with tidy_shuffles(spark):
-        lines = lines_of(docs)
         path = scratch(spark, "line-classes")
-        class_firsts(lines, rarity_levels(lines), threshold, min_words).write.parquet(path)
-        classes = spark.read.parquet(path).where("doc is not null and line is not null and size is not null")
-        earlier = Window.partitionBy("word").orderBy("doc", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = prefixes(classes)
-        for c in ("doc", "line", "size", "pos"):
-            rows = rows.withColumn(f"x_{c}", F.first(c).over(earlier))
-        led = cut(counted(rows.where("doc <> x_doc or line <> x_line"), threshold))
-        gone = cut(verified(docs, led, threshold))
-        # Both sides of the join are the same rows, so they are shuffled once. Settled classes have a negative size: they
-        # match nothing themselves. The condition takes columns of both sides, which keeps the sides alike.
-        marked = classes.join(gone.withColumn("gone", F.lit(True)), ["doc", "line"], "left").select("doc", "line", F.when(F.col("gone"), -F.col("size")).otherwise(F.col("size")).alias("size"), "first")
-        marked = marked.withColumns({"bits0": bits_of(0), "bits1": bits_of(1)}).withColumn("lost", F.size("first") - F.bit_count("bits0") - F.bit_count("bits1"))
-        marked_path = scratch(spark, "line-marks")
-        marked.write.parquet(marked_path)
-        rows = prefixes(spark.read.parquet(marked_path).where("doc is not null and line is not null and size is not null"), "bits0", "bits1", "lost")
-        met = rows.alias("y").join(rows.alias("x"), F.col("y.word") == F.col("x.word"))
-        own = F.when(F.col("y.size") > 0, F.col("y.doc"))
-        met = met.where((F.col("x.doc") < own) | ((F.col("x.doc") == own) & (F.col("x.line") < F.col("y.line"))))
-        shared_bits = sum((F.bit_count(F.col(f"y.{b}").bitwiseAND(F.col(f"x.{b}"))) for b in ("bits0", "bits1")), F.lit(0))
-        met = met.where(shared_bits >= SHARED - F.least("y.lost", "x.lost"))
-        met = met.select(*(F.col(f"y.{c}") for c in ("doc", "line", "size", "pos")), *(F.col(f"x.{c}").alias(f"x_{c}") for c in ("doc", "line", "size", "pos")))
-        rest = cut(counted(met.withColumn("x_size", F.abs("x_size")), threshold))
-        late = cut(verified(docs, rest, threshold))
-        kept = cut(classes.select("doc", "line").join(gone.union(late), ["doc", "line"], "left_anti"))
+        line_classes(docs, rarity(docs), threshold).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
+        classes = spark.read.parquet(path).where("id is not null and size > 0")
+        rows = prefixes(classes, threshold, "doc", "row", "line", most=LEADS)
+        leader = F.min(F.struct("doc", "row", "line", "id", "size", "pos", "both", "odd")).alias("x")
+        led = rows.alias("y").join(rows.groupBy("word").agg(leader).alias("lead"), "word").where(F.col("y.id") != F.col("x.id"))
+        led = cut(led.where(alike("y", "x", threshold)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
+        gone = cut(removed(docs, classes, led, threshold))
+        # The classes that are left meet each other, both sides being one shuffle, and those that are settled.
+        left = prefixes(classes.join(gone, "id", "left_anti"), threshold)
+        settled = prefixes(classes.join(gone, "id", "left_semi"), threshold)
+        pair = [F.col("y.id").alias("a"), F.col("x.id").alias("b")]
+        same = F.col("y.word") == F.col("x.word")
+        within = left.alias("y").join(left.alias("x"), same & (F.col("y.id") > F.col("x.id")) & alike("y", "x", threshold)).select(*pair)
+        across = left.alias("y").join(settled.alias("x"), same & alike("y", "x", threshold)).select(*pair)
+        late = cut(removed(docs, classes, cut(within.union(across).distinct()), threshold))
+        kept = cut(classes.join(gone.union(late), "id", "left_anti").select("doc", "row", "line"))
         delete_path(spark, path)
-        delete_path(spark, marked_path)
     return kept
 
 
-def line_dedup(docs: DataFrame, threshold: float = 0.8, min_words: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs with the later of similar lines taken out of text, and with n_lines and n_removed_lines.
 
-    Lines are parted by \\n; a word is a run of other characters than the six ASCII blanks. Lines of fewer than min_words
-    different words always stay; with min_words=1 these are the lines without words. The threshold is above 2/3. A text that loses all its lines becomes empty; null texts and rows without doc_id stay as
-    they are. Rows that share a doc_id share the decisions for their lines. Columns named like the added ones are replaced.
+    Lines are parted by \\n; a word is a run of other characters than the six ASCII blanks. Lines without words always stay.
+    A text that loses all its lines becomes empty; null texts and rows without doc_id stay as they are and remove nothing.
+    Rows that share a doc_id stand in an order by a hash of their texts; of rows with equal doc_id and text only one keeps
+    lines with words, the first by its other columns. Columns named like the added ones are replaced; any other names are
+    fine. An empty table gives an empty result, and lines may be of any length.
     """
-    payload = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines")]
-    stays = kept_lines(docs, threshold, min_words).groupBy("doc").agg(F.collect_set("line").alias("__stays")).select(F.col("doc").alias("__doc"), "__stays")
-    joined = docs.join(stays, docs["doc_id"].cast("long") == F.col("__doc"), "left")
-    lines = F.split(docs["text"].cast("string"), "\n")
-    held = F.coalesce(F.col("__stays"), F.array().cast("array<int>"))
-    left = F.when(docs["doc_id"].isNull(), lines).otherwise(F.filter(lines, lambda x, i: F.array_contains(held, i) | (F.size(word_set(x)) < min_words)))
-    named = joined.select(*(docs[c] for c in payload if c.lower() != "text"), lines.alias("__lines"), left.alias("__left"))
-    named = named.withColumns({"text": F.array_join("__left", "\n"), "n_lines": F.coalesce(F.size("__lines"), F.lit(0)), "n_removed_lines": F.coalesce(F.size("__lines") - F.size("__left"), F.lit(0))})
-    return named.select(*(F.col("text") if c.lower() == "text" else F.col(f"`{c}`") for c in payload), "n_lines", "n_removed_lines")
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines")]
+    rows = packed(docs, columns, doc=F.col("doc_id").try_cast("long"), text=F.col("text").cast("string"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    able = rows.where("doc is not null and text is not null").select("doc", "row", "text")
+    stays = kept_lines(able, threshold).groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    joined = rows.join(stays.select("doc", "row", flags_of(F.col("lines")).alias("flags")), ["doc", "row"], "left")
+    if not able.groupBy("doc", "row").count().where("count > 1").isEmpty():
+        other = F.to_json(F.struct(*(field(c) for c in columns if c.lower() != "text")))
+        copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy(other))
+        joined = joined.withColumn("flags", F.when(F.col("doc").isNull() | (copy == 1), F.col("flags")))
+    wordless = lambda x: ~x.rlike("[^\\x20\\x09-\\x0D]")
+    lines = F.split("text", "\n")
+    left = F.filter(lines, lambda x, k: F.coalesce(flagged("flags", k), F.lit(False)) | wordless(x))
+    named = joined.select("payload", lines.alias("lines"), F.when(F.col("doc").isNull(), lines).otherwise(left).alias("left"))
+    n_lines, n_left = (F.coalesce(F.size(c), F.lit(0)) for c in ("lines", "left"))
+    return named.select(*(F.array_join("left", "\n").alias(c) if c.lower() == "text" else field(c) for c in columns), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed_lines"))
