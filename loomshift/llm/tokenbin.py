@@ -13,11 +13,13 @@ File format, little-endian throughout:
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 WIDTH_OF = np.array([min((b for b in BITS[1:].tolist() if b >= n), default=64) for n in range(66)], np.uint8)
 MAGIC, END = b"LSW1\0\0\0\0", b"LSW1END."
 BLOCK = 65536
+#: Chunks beyond which a worker forgets what it has kept, and the longest that it keeps beyond the text at hand.
 KEPT_CHUNKS, KEPT_LENGTH = 900_000, 48
 
 
@@ -49,12 +52,13 @@ def pack(ids: np.ndarray) -> np.ndarray:
     for selector in range(len(COUNTS) - 2, 0, -1):
         fits = width <= BITS[selector]
         run, reach = int(COUNTS[selector]), 1
-        while reach < run:  # all of the next `run` ids fit; what lies beyond the end is padding
+        while reach < run and fits.any():  # all of the next `run` ids fit; what lies beyond the end is padding
             step = min(reach, run - reach)
             if step < n:
                 fits[: n - step] &= fits[step:]
             reach += step
-        choice[fits] = selector
+        if fits.any():
+            choice[fits] = selector
     jump = COUNTS[choice].tolist()
     starts, at = [], 0
     while at < n:
@@ -182,72 +186,82 @@ def read_token_file(path: str):
             yield (None if null else doc_id), ids[:length]
 
 
-class ChunkEncoder:
-    """Ids as the tokenizers library gives them, chunk by chunk.
+#: The steps before the model of tokenizers that lower-case and drop white space, as their files state them.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 
-    Blank-separated chunks are encoded once and kept as the bytes of their ids, which is exact for tokenizers that drop
-    white space and never merge across it; the constructor tries that. Chunks hold other white space as it is. New chunks
-    of letters and closing marks go to the library together, and the tokens that end a word part their ids again.
+
+class WordEncoder:
+    """Ids as the tokenizers library gives them, word by word.
+
+    For tokenizers with the steps above, a text of Latin-1 characters without controls parts into the same words by Python's
+    regular expressions: NFC leaves such texts alone, and lower-casing them changes single characters. Each word goes to the
+    library once, many at a time and without the steps that are done already. What stands between blanks is kept as the
+    bytes of its words' ids, so a text is one lookup for each. All other texts, those that name a special token, and all
+    texts of other tokenizers go to the library whole.
     """
 
-    PROBE = "It's a  Test\tof 3 things,\n\n don't 're é ﬁ x<|endoftext|>y , ."
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
-    LATIN = "Words, été; Año!!! straße### Über... end"
+    WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+    CONTROLS = bytes([*range(9), *range(14, 32), *range(127, 160)])
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
+        told = json.loads(model)
+        self.library = Tokenizer.from_str(model)
+        self.parts = all(told.get(k) == v for k, v in STEPS.items()) and told["model"].get("end_of_word_suffix") == "</w>"
         self.known: dict[str, bytes] = {}
-        self.exact = b"".join(self._one(c) for c in self.PROBE.split()) == self._one(self.PROBE)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        units = [x for c in self.LATIN.split() for x in self.SIMPLE.fullmatch(c).groups() if x]
-        self.joins = self.exact and self._joined(units) == [self._one(x) for x in units]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self._ids([text])[0], "<u4").tobytes()
-
-    def _joined(self, units: list[str]) -> list[bytes] | None:
-        """The units' ids, or None if the words that come back are not as many as the units."""
-        ids = np.array(self._ids([" ".join(units)])[0], "<u4")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != len(units) or len(ids) and last[-1] != len(ids):
+        if self.parts:
+            self.specials = [x["content"] for x in told.get("added_tokens") or []]
+            bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, STEPS["pre_tokenizer"]["pretokenizers"][1]]}
+            self.words = Tokenizer.from_str(json.dumps(told | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
+            size = self.words.get_vocab_size()
+            self.ends = np.array([(self.words.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _chunks(self, text: str) -> list[str] | None:
+        """What blanks part in a text, in lower case; None if the library has to take it whole."""
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
             return None
-        data, places = ids.tobytes(), (4 * last).tolist()
-        return [data[a:b] for a, b in zip([0, *places], places)]
-
-    def _learn(self, missing: list[str]) -> None:
-        simple: list[tuple[str, str, str]] = []
-        hard: list[str] = []
-        for chunk in missing:
-            parts = self.SIMPLE.fullmatch(chunk) if self.joins else None
-            if parts:
-                simple.append((chunk, parts[1], parts[2]))
-            else:
-                hard.append(chunk)
-        units = [u for u in dict.fromkeys(u for _, *us in simple for u in us if u) if u not in self.known]
-        found = self._joined(units) if units else []
-        if found is None:
-            hard += [chunk for chunk, *_ in simple]
-        else:
-            self.known.update(zip(units, found))
-            for chunk, core, tail in simple:
-                self.known[chunk] = self.known[core] + self.known[tail] if tail else self.known[core]
-        for chunk, ids in zip(hard, self._ids(hard)):
-            self.known[chunk] = np.array(ids, "<u4").tobytes()
+        if not self.parts or len(data.translate(None, self.CONTROLS)) < len(data) or any(x in text for x in self.specials):
+            return None
+        return text.lower().replace("\n", " ").split(" ")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Keep the ids of chunks, by way of those of their words."""
+        split = list(map(self.WORD.findall, chunks))
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.known]
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1  # the tokens that end a word part what the library gives for all
+            if len(last) != len(some) or last[-1] != len(ids):
+                self.known.update((w, self._whole(w)) for w in some)
+                continue
+            data, places = ids.tobytes(), (4 * last).tolist()
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *places], places))
+        get = self.known.__getitem__
+        self.known.update([(c, b"".join(map(get, x))) for c, x in zip(chunks, split) if x != [c]])
 
     def encode(self, texts: list[str | None], end: int | None):
         """Yield the ids of each text, and the end id."""
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for text in texts:
-            if not self.exact:
-                yield np.frombuffer(self._one(text or "") + tail, "<u4")
+            chunks = self._chunks(text or "")
+            if chunks is None:
+                yield np.frombuffer(self._whole(text) + tail, "<u4")
                 continue
-            chunks = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
             missing = list(set(chunks).difference(self.known))
             if missing:
                 if len(self.known) > KEPT_CHUNKS:
@@ -260,9 +274,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(model: str) -> ChunkEncoder:
+def encoder_of(model: str) -> WordEncoder:
     """The worker's encoder: tasks that a worker runs one after another share what it has learnt."""
-    return ChunkEncoder(model)
+    return WordEncoder(model)
 
 
 def write_token_files(docs: DataFrame, model_path: str, folder: str, end_id: int | None = 1) -> list[tuple]:
