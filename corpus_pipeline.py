@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays: shingles and radius are those of op 7."""
-    return simhash.simhash_dedup(docs)
+    """Of each group of near copies the document with the smallest doc_id stays: shingles of five words, radius two."""
+    return simhash.simhash_dedup(docs, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import key_json
+from ..sources.scratch import durable
 
 #: The error numbers of faults that are a row's own; others have none.
 NUMBERS = {"check": 547, "fk": 547, "duplicate": 2627}
@@ -111,13 +112,19 @@ def chunk_of(rn: Column, size: int) -> Column:
 
 
 def row_numbers(df: DataFrame, keys: list[str], name: str = "rn", partitions: int | None = None) -> DataFrame:
-    """Rows numbered from 1 in key order, without a task that sees them all: ranges are numbered apart and offset by how many rows stand before them."""
-    ordered = (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)).withColumn("__part", F.spark_partition_id())
-    here = ordered.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
-    counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
-    # one row a partition
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__before")
-    return here.join(F.broadcast(before), "__part").withColumn(name, F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
+    """Rows numbered from 1 in key order, without a task that sees them all.
+
+    Ranges of the key are stored once, each row with its range and its place in it; the offsets come from those stored rows,
+    so both sides speak of the same ranges. What is broadcast has a row a range.
+    """
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    placed = durable(ranged.sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__place", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select(F.col("__part").alias("__range"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    found = placed.join(F.broadcast(before), part == F.col("__range"))
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    return found.withColumn(name, place + 1 + F.col("__before")).drop("__place", "__range", "__before")
 
 
 def assert_accounted(attempted: int, loaded: int, failed: int) -> None:

@@ -18,10 +18,21 @@ def sample(df: DataFrame, rows: int = SAMPLE_ROWS, keys: list[str] | None = None
     return df.orderBy(*keys).limit(rows) if keys else df.limit(rows)
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, distinct_values): values of all columns one under another, so a row grows by its values and no more.
+
+    Zeros of either sign are one value.
+    """
+    kinds = dict(df.dtypes)
+    plain = df.select(*((F.col(c) + 0.0 if kinds[c] in ("float", "double") else F.col(c)).alias(c) for c in columns))
+    return long_values(plain, columns).groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("distinct_values"))
+
+
 def column_profiles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row a column: column, sampled_rows, nulls, distinct_values, min_text, max_text, max_len, avg_len.
 
-    All columns of a batch come from one aggregate over one scan; the long form is made from its single row.
+    All columns of a batch come from one aggregate over one scan, but for the distinct values; the long form is made from
+    its single row.
     """
     columns = columns or df.columns
     parts = []
@@ -30,13 +41,19 @@ def column_profiles(df: DataFrame, columns: list[str] | None = None) -> DataFram
         text = {c: df.schema[c].dataType.simpleString() == "string" for c in some}
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(some):
-            aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls{i}"), F.count_distinct(c).alias(f"distinct{i}"), F.min(c).cast("string").alias(f"min{i}"), F.max(c).cast("string").alias(f"max{i}")]
+            aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls{i}"), F.min(c).cast("string").alias(f"min{i}"), F.max(c).cast("string").alias(f"max{i}")]
             if text[c]:
                 aggs += [F.max(text_length(F.col(c))).alias(f"len{i}"), F.round(F.avg(text_length(F.col(c))), 6).alias(f"avg{i}")]
-        one = df.agg(*aggs)
-        rows = [F.struct(F.lit(c).alias("column"), F.col("n").alias("sampled_rows"), F.col(f"nulls{i}").alias("nulls"), F.col(f"distinct{i}").alias("distinct_values"), shortened(F.col(f"min{i}")).alias("min_text"), shortened(F.col(f"max{i}")).alias("max_text"), (F.col(f"len{i}") if text[c] else F.lit(None)).cast("int").alias("max_len"), (F.col(f"avg{i}") if text[c] else F.lit(None)).cast("double").alias("avg_len")) for i, c in enumerate(some)]
-        parts.append(one.select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionByName, parts)
+        rows = []
+        for i, c in enumerate(some):
+            lengths = [(F.col(f"{n}{i}") if text[c] else F.lit(None)).cast(kind).alias(name) for n, kind, name in (("len", "int", "max_len"), ("avg", "double", "avg_len"))]
+            bounds = [shortened(F.col(f"{n}{i}")).alias(f"{n}_text") for n in ("min", "max")]
+            rows.append(F.struct(F.lit(c).alias("column"), F.col("n").alias("sampled_rows"), F.col(f"nulls{i}").alias("nulls"), *bounds, *lengths))
+        one = df.agg(*aggs).select(F.inline(F.array(*rows)))
+        # a row a column on both sides
+        parts.append(one.join(F.broadcast(distinct_counts(df, some)), "column", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0).cast("long"))))
+    order = ["column", "sampled_rows", "nulls", "distinct_values", "min_text", "max_text", "max_len", "avg_len"]
+    return reduce(DataFrame.unionByName, parts).select(*order)
 
 
 def with_ratios(profiles: DataFrame) -> DataFrame:

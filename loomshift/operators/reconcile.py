@@ -25,10 +25,11 @@ def compare_checksums(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def row_diff(source: DataFrame, target: DataFrame, columns: list[str]) -> DataFrame:
-    """(side, rows): rows of either side that the other does not have, as sets."""
-    a, b = source.select(*columns), target.select(*columns)
-    only = a.subtract(b).agg(F.count("*").alias("rows")).select(F.lit("source").alias("side"), "rows")
-    return only.unionByName(b.subtract(a).agg(F.count("*").alias("rows")).select(F.lit("target").alias("side"), "rows"))
+    """(side, rows): rows of either side that the other does not have, as sets. Both sides are grouped once, together."""
+    here, there = (df.select(*columns, F.lit(side).alias("__side")) for df, side in ((source, "source"), (target, "target")))
+    only = here.union(there).groupBy(*columns).agg(F.min("__side").alias("a"), F.max("__side").alias("b")).where("a = b")
+    found = only.agg(*(F.count(F.when(F.col("a") == side, 1)).alias(side) for side in ("source", "target")))
+    return found.select(F.inline(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("rows")) for side in ("source", "target")))))
 
 
 def count_match(source: int | None, rejected: int, before: int | None, after: int | None) -> tuple[bool | None, str | None]:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import SparkSession
 
 from ..sources.catalog import Catalog, Table
@@ -32,6 +33,12 @@ class Task:
     depends_on: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     merge_query: str | None = None
+    #: Tables of the target that the merge query looks up, as views with "_" for "."
+    reads: list[str] = field(default_factory=list)
+    #: Temporal columns and the decimals of a second that the target keeps; -1 for whole minutes.
+    rounding: dict[str, int] = field(default_factory=dict)
+    #: A column that the target numbers itself.
+    identity: str | None = None
 
 
 @dataclass
@@ -97,7 +104,7 @@ def mapping_blockers(mapping: dict, source: Catalog, target: Catalog) -> list[st
 def _query(name: str, m: dict, table: Table, source: Catalog) -> tuple[str, list[str], list[str], list[str]]:
     warnings, columns, parts = [], [], []
     for c in table.columns:
-        x = m.get("columns", {}).get(c.name)
+        x = m.get("columns", {}).get(c.name) or ({"default": c.default} if c.default and not c.nullable else None)
         if not x:
             continue
         if c.computed or c.rowversion:
@@ -120,6 +127,16 @@ def _query(name: str, m: dict, table: Table, source: Catalog) -> tuple[str, list
     return text, columns, [f"__k{n}" for n in range(len(keys))], warnings
 
 
+def rounding_of(table: Table, columns: list[str]) -> dict[str, int]:
+    """What the target's temporal types keep of a second."""
+    out = {}
+    for c in table.columns:
+        found = re.fullmatch(r"(datetime2|datetimeoffset|time|smalldatetime)(?:\((\d)\))?", c.data_type.strip().lower())
+        if c.name in columns and found:
+            out[c.name] = -1 if found[1] == "smalldatetime" else min(6, int(found[2] or 6))
+    return out
+
+
 def generate(mapping: dict, source: Catalog, target: Catalog, chunk_size: int = CHUNK) -> Plan:
     """Tasks in an order that loads parents first; edges whose columns may all be null are cut first where keys form a cycle."""
     todo = {t: m for t, m in mapping.get("tables", {}).items() if m.get("kind") != "skip"}
@@ -142,7 +159,12 @@ def generate(mapping: dict, source: Catalog, target: Catalog, chunk_size: int =
         if todo[t]["kind"] == "lookup":
             warnings.append("review the merge query")
         parents = sorted({ids[p] for c, p in edges if c == t and p in ids and p != t and (c, p) not in cut})
-        tasks.append(Task(ids[t], t, "staging" if todo[t]["kind"] == "lookup" else "direct", text, columns, keys, min(chunk_size, LOB_CHUNK) if large else chunk_size, parents, warnings, todo[t].get("merge")))
+        table, staged = target.tables[t], todo[t]["kind"] == "lookup"
+        identity = next((c.name for c in table.columns if c.identity and c.name not in columns), None)
+        task = Task(ids[t], t, "staging" if staged else "direct", text, columns, keys, min(chunk_size, LOB_CHUNK) if large else chunk_size, parents, warnings)
+        task.merge_query, task.reads = todo[t].get("merge"), todo[t].get("reads", [])
+        task.rounding, task.identity = rounding_of(table, columns), identity
+        tasks.append(task)
     return Plan(tasks, cut, mapping_hash(mapping))
 
 
@@ -152,6 +174,36 @@ def plan_order(order: list[str], ids: list[str]) -> list[str]:
     return known + sorted(set(ids) - set(known))
 
 
+def _uncastable(spark: SparkSession, task: Task, known: dict) -> list[str]:
+    """Columns that Spark can never cast to the target's type; types that it cannot read are not judged."""
+    out = []
+    for name in task.columns:
+        kind = known[name].data_type if name in known else ""
+        try:
+            spark.sql(f"SELECT CAST(NULL AS {kind})")
+        except (AnalysisException, ParseException):
+            continue
+        try:
+            spark.sql(f"SELECT CAST({quoted(name)} AS {kind}) FROM ({task.query}\n)")
+        except AnalysisException as bad:
+            if "CAST" in (bad.getCondition() or "") or "DATATYPE_MISMATCH" in (bad.getCondition() or ""):
+                out.append(f"{name} can never be a {kind}")
+    return out
+
+
+def _merge_errors(spark: SparkSession, task: Task) -> list[str]:
+    """Of a lookup task's merge query, analysed over an empty staging view and the tables that it reads, if these are known."""
+    if task.mode != "staging":
+        return ["a direct load has no merge query"] if task.merge_query else []
+    if not task.merge_query:
+        return ["a lookup load needs a merge query"]
+    spark.sql(task.query).limit(0).createOrReplaceTempView("stg")
+    if not all(spark.catalog.tableExists(t.replace(".", "_")) for t in task.reads):
+        return []
+    names = spark.sql(task.merge_query).schema.names
+    return [f"column {c} is not in the merge query" for c in task.columns if c not in names]
+
+
 def validate(spark: SparkSession, plan: Plan, target: Catalog) -> dict[str, list[str]]:
     """Errors by task. Queries are analysed against the registered source views and never run."""
     out: dict[str, list[str]] = {}
@@ -167,8 +219,13 @@ def validate(spark: SparkSession, plan: Plan, target: Catalog) -> dict[str, list
             errors += [f"column {n} comes twice" for n in sorted({n for n in names if names.count(n) > 1})]
             errors += [f"column {c} is not in the query" for c in task.columns if c not in names]
             errors += [f"{c} is a reserved name" for c in names if c.startswith(RESERVED)]
-            known = {c.name for c in target.tables[task.target].columns}
+            table = target.tables[task.target]
+            known = {c.name: c for c in table.columns}
             errors += [f"{c} is no column of {task.target}" for c in task.columns if c not in known]
+            given = {*task.columns, task.identity}
+            errors += [f"{c.name} is required and has no value" for c in table.columns if not (c.nullable or c.computed or c.rowversion or c.name in given)]
+            errors += _uncastable(spark, task, known)
+            errors += _merge_errors(spark, task)
         except AnalysisException as bad:
             errors.append(str(bad).split("\n")[0])
         out[task.id] = errors

@@ -5,6 +5,9 @@ Every query runs over whole tables. Rejects are planted by expressions that Spar
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,10 @@ from .functions import temporal
 from .functions.keys import keyset_after
 from .functions.names import identifier_words
 from .operators import load, match, profile, reconcile
+from .plans import plan, preflight, report, runner
+from .plans.constraints import constraints_of, rules_from
+from .sources import catalog
+from .sources.scratch import checkpoint_folder
 from .streaming import progress
 
 QUERIES: dict = {}
@@ -103,18 +110,18 @@ def keyset_page(spark, sf_dir):
 
 
 @query("""
-    select o_orderkey, rn, (case when rn <= 1500 then ceil(rn / 500) else 3 + ceil((rn - 1500) / 500) end)::bigint as chunk
-    from (select o_orderkey, row_number() over (order by o_orderkey) as rn from orders)""")
+    select *, (case when rn <= 1500 then ceil(rn / 500) else 3 + ceil((rn - 1500) / 500) end)::bigint as chunk
+    from (select o_orderkey, o_custkey, o_orderpriority, row_number() over (order by o_orderkey) as rn from orders)""")
 def chunk_numbering(spark, sf_dir):
-    numbered = load.row_numbers(t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
-    return numbered.select("o_orderkey", "rn", load.chunk_of(F.col("rn"), 500).alias("chunk"))
+    numbered = load.row_numbers(t(spark, sf_dir, "orders"), ["o_orderkey"])
+    return numbered.select("o_orderkey", "o_custkey", "o_orderpriority", "rn", load.chunk_of(F.col("rn"), 500).alias("chunk"))
 
 
 @query("""
     select chunk, count(*) as n from (select (case when rn <= 3000 then ceil(rn / 1000) else 3 + ceil((rn - 3000) / 100000) end)::bigint as chunk
     from (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as rn from lineitem)) group by chunk""")
 def chunk_sizes(spark, sf_dir):
-    numbered = load.row_numbers(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    numbered = load.row_numbers(t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
     return numbered.groupBy(load.chunk_of(F.col("rn"), 100_000).alias("chunk")).agg(F.count("*").alias("n"))
 
 
@@ -367,3 +374,167 @@ def error_samples(spark, sf_dir):
     """At most five samples a group, as in the final report."""
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
     return t(spark, sf_dir, "orders").select("o_orderkey", rank.alias("newest_first")).where("newest_first <= 5")
+
+
+# Whole runs: a plan is generated from a mapping and catalogs, and loaded into a target of its own.
+
+_COLUMN = catalog.Column
+
+
+def _target() -> catalog.Catalog:
+    """Customers, their orders and the lines of these, with a cycle of keys between the first two."""
+    customers = catalog.Table(
+        "Customers", [_COLUMN("CustomerId", 0, "bigint", False), _COLUMN("Name", 1, "string", False), _COLUMN("FirstOrder", 2, "bigint")], primary_key=["CustomerId"],
+        foreign_keys=[catalog.ForeignKey("FK_FIRST", ["FirstOrder"], "Orders", ["OrderId"])],
+    )
+    orders = catalog.Table(
+        "Orders", [_COLUMN("OrderId", 0, "bigint", False), _COLUMN("CustomerId", 1, "bigint", False), _COLUMN("Total", 2, "double", False)], primary_key=["OrderId"],
+        foreign_keys=[catalog.ForeignKey("FK_CUSTOMER", ["CustomerId"], "Customers", ["CustomerId"])], checks=["Total >= 20000"],
+    )
+    lines = catalog.Table("OrderLines", [_COLUMN("OrderId", 0, "bigint", False), _COLUMN("LineNumber", 1, "int", False)], foreign_keys=[catalog.ForeignKey("FK_ORDER", ["OrderId"], "Orders", ["OrderId"])])
+    return catalog.Catalog("target", {x.key: x for x in (customers, orders, lines)})
+
+
+def _mapping() -> dict:
+    first = "(select min(o.o_orderkey) from orders o where o.o_custkey = s.c_custkey)"
+    return {"tables": {
+        "Customers": {"kind": "direct", "sources": ["customer"], "filter": "s.c_custkey % 10 <> 0", "columns": {"CustomerId": {"expr": "s.c_custkey"}, "Name": {"expr": "s.c_name"}, "FirstOrder": {"expr": first}}},
+        "Orders": {"kind": "direct", "sources": ["orders"], "columns": {"OrderId": {"expr": "s.o_orderkey"}, "CustomerId": {"expr": "s.o_custkey"}, "Total": {"expr": "s.o_totalprice"}}},
+        "OrderLines": {"kind": "direct", "sources": ["lineitem"], "columns": {"OrderId": {"expr": "s.l_orderkey"}, "LineNumber": {"expr": "s.l_linenumber"}}},
+    }}
+
+
+def _run_setup(spark, sf_dir, only: list[str] | None = None):
+    """Source views, target catalog, plan and an empty store in the shared folder."""
+    keys = {"customer": ["c_custkey"], "orders": ["o_orderkey"], "lineitem": []}
+    source = catalog.read_catalog(spark, "source", sf_dir, {n: {"primary_key": k} for n, k in keys.items()}, count_rows=False)
+    for name in keys:
+        t(spark, sf_dir, name).createOrReplaceTempView(name)
+    mapping, target = _mapping(), _target()
+    if only:
+        mapping["tables"] = {k: v for k, v in mapping["tables"].items() if k in only}
+    made = plan.generate(mapping, source, target)
+    return source, target, made, runner.Store(spark, f"{checkpoint_folder(spark).rstrip('/')}/target-{uuid.uuid4().hex}")
+
+
+def _reported(spark, store: runner.Store, reports) -> DataFrame:
+    out = report.report_frame(spark, reports)
+    store.delete("")
+    return out
+
+
+_LOADED = """
+    with c as (select c_custkey from customer where c_custkey % 10 <> 0),
+    o as (select o_orderkey, o_totalprice >= 20000 and o_custkey in (select c_custkey from c) as good from orders),
+    l as (select l_orderkey in (select o_orderkey from o where good) as good from lineitem),
+    n as (select 'T01' as task, 'Customers' as target, count(*) as source_rows, count(*) as loaded from c
+        union all select 'T02', 'Orders', count(*), count(*) filter (good) from o union all select 'T03', 'OrderLines', count(*), count(*) filter (good) from l)
+"""
+
+
+@query(_LOADED + "select task, target, source_rows, loaded, source_rows - loaded as rejected, 0::bigint as held_before, loaded as held_after, 'done' as status, true as balanced from n")
+def run_skip(spark, sf_dir):
+    """A plan of three tables in skip mode: rejected orders take their lines with them."""
+    _, target, made, store = _run_setup(spark, sf_dir)
+    return _reported(spark, store, runner.run_plan(spark, store, made, rules_from(spark, target, made)))
+
+
+@query("select 'Orders' as target, 0::bigint as loaded, least(3000, count(*))::bigint as rejected, 'nothing loaded' as ended from orders")
+def run_all_rejected(spark, sf_dir):
+    """A check that no row meets: the guard ends the task after its first chunks."""
+    _, target, made, store = _run_setup(spark, sf_dir, ["Orders"])
+    target.tables["Orders"].checks, target.tables["Orders"].foreign_keys = ["Total < 0"], []
+    task = made.tasks[0]
+    try:
+        runner.run_task(spark, store, task, constraints_of(spark, store, target, task, made), runner.Options())
+        ended = "ran on"
+    except runner.BadTask as bad:
+        ended = "nothing loaded" if "nothing loaded" in str(bad) else str(bad)
+    state = store.manifest("Orders", task.id)
+    store.delete("")
+    return spark.createDataFrame([("Orders", state["loaded"], state["rejected"], ended)], "target string, loaded long, rejected long, ended string")
+
+
+@query("select 'again' as task, 'Orders' as target, n as source_rows, 0::bigint as loaded, n as rejected, n as held_before, n as held_after, 'done' as status, true as balanced from (select count(*) as n from orders)")
+def run_all_duplicate(spark, sf_dir):
+    """A second load of the same rows into a filled target: every row is a duplicate."""
+    _, target, made, store = _run_setup(spark, sf_dir, ["Orders"])
+    target.tables["Orders"].checks, target.tables["Orders"].foreign_keys = [], []
+    task = made.tasks[0]
+    runner.run_task(spark, store, task, constraints_of(spark, store, target, task, made), runner.Options())
+    again = replace(task, id="again")
+    return _reported(spark, store, [runner.run_task(spark, store, again, constraints_of(spark, store, target, again, made), runner.Options())])
+
+
+@query("""
+    select 'paused' as first_status, 'done' as status, n - held as loaded, held as rejected, n as rows, n as distinct_keys
+    from (select count(*) as n, count(*) filter (o_orderkey % 100 = 0) as held from orders)""")
+def run_resume(spark, sf_dir):
+    """A target that holds some keys, a load that pauses after two chunks, and its resumption."""
+    _, target, made, store = _run_setup(spark, sf_dir, ["Orders"])
+    target.tables["Orders"].checks, target.tables["Orders"].foreign_keys = [], []
+    task = made.tasks[0]
+    task.chunk_size = 500
+    held = replace(task, id="held", query=f"{task.query}\nWHERE s.o_orderkey % 100 = 0")
+    runner.run_task(spark, store, held, constraints_of(spark, store, target, held, made), runner.Options())
+    rules = constraints_of(spark, store, target, task, made)
+    first = runner.run_task(spark, store, task, rules, runner.Options(stop_after=2))
+    last = runner.run_task(spark, store, task, rules, runner.Options())
+    rows, keys = store.read("Orders").agg(F.count("*"), F.count_distinct("OrderId")).first()
+    store.delete("")
+    return spark.createDataFrame([(first.status, last.status, last.loaded, last.rejected, rows, keys)], "first_status string, status string, loaded long, rejected long, rows long, distinct_keys long")
+
+
+@query("""
+    select s.code as status_code, count(*) as rows, min(o_orderkey) as first_order from orders o
+    join (values ('F', 'FINISHED'), ('O', 'OPEN')) s(k, code) on o.o_orderstatus = s.k group by s.code""")
+def lookup_load(spark, sf_dir):
+    """A lookup task: staged rows meet a table that the target holds, and what has no match is left out."""
+    source, _, _, store = _run_setup(spark, sf_dir, ["Orders"])
+    spark.createDataFrame([("F", "FINISHED"), ("O", "OPEN")], "Code string, Name string").createOrReplaceTempView("status_list")
+    states = catalog.Table("States", [_COLUMN("Code", 0, "string", False), _COLUMN("Name", 1, "string", False)], primary_key=["Code"])
+    orders = catalog.Table("Orders", [_COLUMN("OrderId", 0, "bigint", False), _COLUMN("StatusName", 1, "string", False)], primary_key=["OrderId"])
+    source.tables["status_list"] = catalog.Table("status_list", states.columns, primary_key=["Code"])
+    mapping = {"tables": {
+        "States": {"kind": "direct", "sources": ["status_list"], "columns": {"Code": {"expr": "s.Code"}, "Name": {"expr": "s.Name"}}},
+        "Orders": {"kind": "lookup", "sources": ["orders"], "columns": {"OrderId": {"expr": "s.o_orderkey"}, "StatusName": {"expr": "s.o_orderstatus"}}, "reads": ["States"],
+            "merge": "select g.OrderId, x.Name as StatusName, g.__k0 from stg g join States x on x.Code = g.StatusName"},
+    }}
+    target = catalog.Catalog("target", {"States": states, "Orders": orders})
+    made = plan.generate(mapping, source, target)
+    made.tasks.sort(key=lambda task: task.mode == "staging")
+    runner.run_plan(spark, store, made, rules_from(spark, target, made))
+    return store.read("Orders").groupBy(F.col("StatusName").alias("status_code")).agg(F.count("*").alias("rows"), F.min("OrderId").alias("first_order"))
+
+
+@query(_LOADED + """
+    select 'Customers' as child, 'FK_FIRST' as key, count(*) as orphans from (select min(o_orderkey) as first_order from orders where o_custkey in (select c_custkey from c) group by o_custkey)
+    where first_order not in (select o_orderkey from o where good)""")
+def fk_recheck(spark, sf_dir):
+    """The foreign key that the load order cut, checked on what was loaded."""
+    _, target, made, store = _run_setup(spark, sf_dir)
+    runner.run_plan(spark, store, made, rules_from(spark, target, made))
+    found = runner.verify_cut(store, made, target)
+    store.delete("")
+    return spark.createDataFrame(found, "child string, key string, orphans long")
+
+
+@query("""
+    select * from (values ('plan_valid', true, 'ok', false), ('source_connection', true, 'ok', false), ('target_connection', true, 'ok', false), ('source_drift', true, 'ok', false), ('target_drift', false, 'error', false),
+    ('target_identity', true, 'ok', false), ('target_tables', true, 'ok', false), ('control_table', true, 'ok', false), ('target_rows', true, 'ok', false), ('estimated_rows', true, 'ok', false),
+    ('chunk_keys', true, 'ok', false), ('keyless_tasks', false, 'warning', false)) v("name", ok, severity, not_run)""")
+def preflight_checks(spark, sf_dir):
+    """The checks before a run over an empty target of which the structure changed."""
+    source, target, made, store = _run_setup(spark, sf_dir)
+    return preflight.checks_frame(spark, preflight.preflight(spark, store, made, source, target, source_mark=catalog.fingerprint(source), target_mark="another"))
+
+
+@query(_LOADED + """
+    select 'Transferred ' || format('{:,}', sum(loaded)::bigint) || ' of ' || format('{:,}', sum(source_rows)::bigint) || ' rows into 3 tables in an unknown time ('
+        || format('{:,}', sum(source_rows - loaded)::bigint) || ' rejected); row counts validated, checksums 3/3 matched.' as headline from n""")
+def final_report(spark, sf_dir):
+    _, target, made, store = _run_setup(spark, sf_dir)
+    reports = runner.run_plan(spark, store, made, rules_from(spark, target, made))
+    told = report.final_report(spark, store, made, reports, target.tables)
+    store.delete("")
+    return spark.createDataFrame([(told["headline"],)], "headline string")

@@ -1,7 +1,7 @@
 """Catalogs: what a side's tables look like, from Parquet schemas and a constraint manifest next to them.
 
 A manifest is a JSON object: table name -> {primary_key, unique, foreign_keys: [{name, columns, parent, parent_columns,
-trusted}], checks, not_null, identity, computed, rowversion, max_length, triggers, temporal, heap, collation}.
+trusted}], checks, not_null, identity, computed, rowversion, max_length, triggers, temporal, heap, collation, types, defaults}.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ class Column:
     max_length: int = 0
     collation: str | None = None
     description: str | None = None
+    default: str | None = None
 
 
 @dataclass
@@ -78,7 +79,7 @@ def read_catalog(spark: SparkSession, side: str, folder: str, manifest: dict, co
             continue
         df = spark.read.parquet(f"{folder}/{name}.parquet")
         required, lengths = set(told.get("not_null", [])) | set(told.get("primary_key", [])), told.get("max_length", {})
-        columns = [Column(f.name, k, told.get("types", {}).get(f.name, f.dataType.simpleString()), f.name not in required, f.name in told.get("identity", []), f.name in told.get("computed", []), f.name in told.get("rowversion", []), lengths.get(f.name, 0), told.get("collation", {}).get(f.name)) for k, f in enumerate(df.schema.fields)]
+        columns = [Column(f.name, k, told.get("types", {}).get(f.name, f.dataType.simpleString()), f.name not in required, f.name in told.get("identity", []), f.name in told.get("computed", []), f.name in told.get("rowversion", []), lengths.get(f.name, 0), told.get("collation", {}).get(f.name), default=told.get("defaults", {}).get(f.name)) for k, f in enumerate(df.schema.fields)]
         keys = [ForeignKey(k.get("name", f"FK{n}"), k["columns"], k["parent"], k["parent_columns"], k.get("trusted", True)) for n, k in enumerate(told.get("foreign_keys", []))]
         tables[name] = Table(name, columns, df.count() if count_rows else None, None, told.get("primary_key", []), told.get("unique", []), keys, told.get("checks", []), told.get("triggers", []), told.get("temporal"), told.get("heap", False))
     return Catalog(side, tables, {"version": spark.version})

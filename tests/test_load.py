@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomshift.operators import load, profile, reconcile
-from loomshift.plans import runner
+from loomshift.plans import report, runner
 from loomshift.plans.plan import Plan, Task
 from loomshift.streaming import progress
 
@@ -69,7 +69,7 @@ def test_eight_rejects_and_a_paused_run_that_resumes(spark, shop, tmp_path):
     found = spark.read.parquet(f"file://{tmp_path}/target/_rejects").select("task", "key_json", "reason").collect()
     assert sorted((r["reason"], r["key_json"]) for r in found) == sorted([("fk", '{"__k0":3001}'), ("fk", '{"__k0":3002}'), *(("truncation", f'{{"__k0":{k}}}') for k in (3003, 3004, 3005)), ("check", '{"__k0":1,"__k1":1}'), ("fk", '{"__k0":3001,"__k1":1}'), ("fk", '{"__k0":3002,"__k1":1}')])
     assert all(runner.reconcile(r)[0] for r in runner.run_plan(spark, runner.Store(spark, f"file://{tmp_path}/again"), plan, rules_of))
-    assert runner.headline(reports, 61) == "Transferred 12,999 of 13,007 rows into 3 tables in 1 m 01 s (8 rejected)"
+    assert report.headline(reports, 61) == "Transferred 12,999 of 13,007 rows into 3 tables in 1m 01s (8 rejected); row counts validated."
 
 
 def test_guards(spark, tmp_path):
