@@ -21,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder of this machine on a local master, and an error on any other.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context._jsc.sc().getCheckpointDir().getOrElse(None) if context._jsc else None
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomshift-")
         context.setCheckpointDir(folder)
     return folder
@@ -73,11 +78,16 @@ def packed(docs: DataFrame, columns: list[str], **more) -> DataFrame:
     return docs.select(F.struct(*(F.col(quoted(c)) for c in columns)).alias("payload"), *(x.alias(name) for name, x in more.items()))
 
 
+def numbered(docs: DataFrame, columns: list[str], *more) -> DataFrame:
+    """``columns`` of docs as c0, c1, ..., and ``more`` behind them: what goes through Arrow has plain names."""
+    return docs.select(*(F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(columns)), *more)
+
+
+def renamed(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """What ``numbered`` named plainly under its own names again, and ``more`` behind it."""
+    return df.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), *more)
+
+
 def field(column: str):
     """A column out of the payload, under its own name."""
     return F.col("payload").getField(column).alias(column)
-
-
-def words_column(text) -> F.Column:
-    """Array of the words of a text column; null and blank texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_SQL), lambda w: w != "")

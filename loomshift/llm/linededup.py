@@ -21,8 +21,9 @@ from .common import SPACE_SQL, cut, delete_path, field, packed, scratch, tidy_sh
 COUNTERS, ROW, STEPS = 1 << 18, 1 << 9, 2
 #: A rank has 6 bits of rarity above these bits of the word's hash.
 HASH_BITS = 57
-#: How many of a class's first words lead it to an earlier class in the first step.
-LEADS = 2
+#: By how many of its very first words a class leads others in the first step, and by how many it looks for a leader. Copies
+#: with rare words of their own have the shared ones further back.
+LEADS, LOOKS = 2, 6
 OTHER_BLANKS = "[\\x09-\\x0D]"
 SLACK = 1e-9
 
@@ -50,7 +51,7 @@ def counted(counts: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: by a word's counter, its rarity, shifted to where it stands in a rank.
+    """A constant array: by a word's counter, its rarity.
 
     Counted over all texts. Words of one hash share a counter, and what other blanks than spaces and line ends part counts
     as one word: that makes the order of words rougher, but any order gives an exact join. The number of counters is fixed,
@@ -59,8 +60,8 @@ def rarity(docs: DataFrame) -> Column:
     spaced = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     counts = docs.select(F.explode(spaced).alias("word")).groupBy(counter_of(F.col("word")).alias("at")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1) * STEPS)).cast("int")
-    shifted = [(ord(c) - 33) << HASH_BITS for c in characters(counted(counts).select("at", F.char(level + 33).alias("mark")))]
-    return F.from_json(F.lit(str(shifted).replace(" ", "")), "array<bigint>")
+    levels = [ord(c) - 33 for c in characters(counted(counts).select("at", F.char(level + 33).alias("mark")))]
+    return F.from_json(F.lit(str(levels).replace(" ", "")), "array<bigint>")
 
 
 def among(places: DataFrame) -> Column:
@@ -77,7 +78,7 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float) -> DataFrame
     Sets are told apart by 128 bits of hash over the 63 bits of their words' ranks.
     """
     lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rank = lambda w: levels[counter_of(w)].bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    rank = lambda w: F.shiftleft(levels[counter_of(w)], HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
     sets = lines.select("doc", "row", "line", F.sort_array(F.array_distinct(F.transform(words_of(F.col("raw")), rank))).alias("ranked"))
     # Each word counts in one of 128 groups: 64 by the distance of the shift, which takes its lowest six bits, twice by the
     # word's last bit. `both` has both halves in one, which costs less than a test of the bit.
@@ -145,10 +146,12 @@ def kept_lines(docs: DataFrame, threshold: float) -> DataFrame:
         path = scratch(spark, "line-classes")
         line_classes(docs, rarity(docs), threshold).withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
         classes = spark.read.parquet(path).where("id is not null and size > 0")
-        rows = prefixes(classes, threshold, "doc", "row", "line", most=LEADS)
-        leader = F.min(F.struct("doc", "row", "line", "id", "size", "pos", "both", "odd")).alias("x")
-        led = rows.alias("y").join(rows.groupBy("word").agg(leader).alias("lead"), "word").where(F.col("y.id") != F.col("x.id"))
-        led = cut(led.where(alike("y", "x", threshold)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
+        place = F.struct("doc", "row", "line")
+        rows = prefixes(classes.withColumn("place", place), threshold, "place", most=LEADS)
+        leaders = rows.groupBy("word").agg(F.min(F.struct("place", "id", "size", "pos", "both", "odd")).alias("x"))
+        looking = prefixes(classes.withColumn("place", place), threshold, "place", most=LOOKS)
+        led = looking.alias("y").join(leaders.alias("leaders"), "word").where((F.col("x.place") < F.col("y.place")) & alike("y", "x", threshold))
+        led = cut(led.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
         gone = cut(removed(docs, classes, led, threshold))
         # The classes that are left meet each other, both sides being one shuffle, and those that are settled.
         left = prefixes(classes.join(gone, "id", "left_anti"), threshold)

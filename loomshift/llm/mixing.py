@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, cut
+from .common import SPACE_SQL, cut, field, packed, quoted
 
 #: Bits that the bisection settles in one pass over the sources, and passes.
 STEP_BITS, PASSES = 5, 5
@@ -67,17 +67,20 @@ def mixture(docs: DataFrame, entropy_gain: float = 0.25, max_repeats: float = 2.
     orders the rows of a block). Columns of docs with these names are replaced. The budget in tokens defaults to the least
     that takes every document once, so nothing is lost; with a smaller one, the documents that a source's share of the
     budget does not reach are left out. Documents without words have no tokens: they come along once, in the block where
-    they stand. A null source is a source of its own. Repeated rows are documents of their own. An empty table gives an
-    empty result.
+    they stand. A null source is a source of its own. Repeated rows are documents of their own: those of equal doc_id and
+    text stand by their other columns, and rows equal in all are interchangeable. Names of docs may be any, and texts of any
+    length. An empty table gives an empty result.
 
     A source's order is summed up in 65536 parts of its hash, so that no task sorts more of a source than a part.
     """
     added = ("mix_source", "mix_tokens", "mix_weight", "mix_copy", "mix_block", "mix_order")
-    payload = [c for c in docs.columns if c.lower() not in added]
-    key = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"].cast("string"), F.lit("")), F.lit(seed))
-    rows = docs.select(*(docs[c] for c in payload), F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("")).alias("mix_source"), token_count(docs["text"]).alias("mix_tokens"), key.alias("__key"))
-    rows = rows.withColumn("__hi", F.shiftrightunsigned("__key", 56)).withColumn("__lo", F.shiftrightunsigned("__key", 48).bitwiseAND(F.lit(255)))
-    parts = cut(rows.groupBy("mix_source", "__hi", "__lo").agg(F.sum("mix_tokens").alias("t")))
+    columns = [c for c in docs.columns if c.lower() not in added]
+    source = F.col(quoted(next(c for c in docs.columns if c.lower() == source_col.lower()))).cast("string")
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(seed))
+    others = F.to_json(F.struct(*(F.col(quoted(c)) for c in columns if c.lower() != "text")))
+    rows = packed(docs, columns, mix_source=F.coalesce(F.concat(F.lit("="), source), F.lit("")), mix_tokens=token_count(F.col("text")), key=hashed, tie=F.xxhash64(others))
+    rows = rows.withColumn("hi", F.shiftrightunsigned("key", 56)).withColumn("lo", F.shiftrightunsigned("key", 48).bitwiseAND(F.lit(255)))
+    parts = cut(rows.groupBy("mix_source", "hi", "lo").agg(F.sum("mix_tokens").alias("t")))
     totals = cut(parts.groupBy("mix_source").agg(F.sum("t").alias("total")).where("total > 0"))
     whole = totals.agg(F.sum("total")).first()[0] or 0
     shares = totals.select("mix_source", "total", (F.col("total") / F.lit(float(max(1, whole)))).alias("share"))
@@ -88,19 +91,19 @@ def mixture(docs: DataFrame, entropy_gain: float = 0.25, max_repeats: float = 2.
     if budget is None:
         budget = weights.agg(F.max(F.col("total") / F.col("mix_weight"))).first()[0] or 0.0
     # where each part of a source begins: by its high bits, then by its low bits within them
-    upper = parts.groupBy("mix_source", "__hi").agg(F.sum("t").alias("t"))
-    upper = upper.select("mix_source", "__hi", (F.sum("t").over(Window.partitionBy("mix_source").orderBy("__hi")) - F.col("t")).alias("__above"))
-    lower = parts.withColumn("__below", F.sum("t").over(Window.partitionBy("mix_source", "__hi").orderBy("__lo")) - F.col("t")).drop("t")
-    begins = cut(lower.join(upper, ["mix_source", "__hi"]).join(weights, "mix_source", "left").select("mix_source", "__hi", "__lo", (F.col("__above") + F.col("__below")).alias("__begin"), F.coalesce("total", F.lit(0)).alias("__total"), F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight")))
-    placed = rows.join(begins, ["mix_source", "__hi", "__lo"])
-    run = Window.partitionBy("mix_source", "__hi", "__lo").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("__at", F.col("__begin") + F.sum("mix_tokens").over(run) - F.col("mix_tokens"))
-    # copy k of a row stands at __at + k * __total; it is taken if that lies within the source's part of the budget
+    upper = parts.groupBy("mix_source", "hi").agg(F.sum("t").alias("t"))
+    upper = upper.select("mix_source", "hi", (F.sum("t").over(Window.partitionBy("mix_source").orderBy("hi")) - F.col("t")).alias("above"))
+    lower = parts.withColumn("below", F.sum("t").over(Window.partitionBy("mix_source", "hi").orderBy("lo")) - F.col("t")).drop("t")
+    begins = cut(lower.join(upper, ["mix_source", "hi"]).join(weights, "mix_source", "left").select("mix_source", "hi", "lo", (F.col("above") + F.col("below")).alias("begin"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight")))
+    placed = rows.join(begins, ["mix_source", "hi", "lo"])
+    run = Window.partitionBy("mix_source", "hi", "lo").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("at", F.col("begin") + F.sum("mix_tokens").over(run) - F.col("mix_tokens"))
+    # copy k of a row stands at at + k * total; it is taken if that lies within the source's part of the budget
     reach = F.col("mix_weight") * F.lit(float(budget))
-    passes = F.floor(reach / F.col("__total") + 1e-9)
-    rest = F.round(reach - passes * F.col("__total"))
-    copies = F.when((F.col("__total") == 0) | (F.col("mix_tokens") == 0), F.lit(1)).otherwise(passes + F.when(F.col("__at") < rest, 1).otherwise(0))
+    passes = F.floor(reach / F.col("total") + 1e-9)
+    rest = F.round(reach - passes * F.col("total"))
+    copies = F.when((F.col("total") == 0) | (F.col("mix_tokens") == 0), F.lit(1)).otherwise(passes + F.when(F.col("at") < rest, 1).otherwise(0))
     taken = placed.withColumn("mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))))
-    block = F.when(F.col("__total") == 0, F.lit(0).cast("long")).otherwise(F.floor((F.col("__at") + F.col("mix_copy") * F.col("__total")) / (F.col("mix_weight") * F.lit(float(block_tokens)))))
-    taken = taken.withColumn("mix_block", block).withColumn("mix_order", F.xxhash64("__key", "mix_copy", "mix_block"))
-    return taken.select(*(F.col(f"`{c}`") for c in payload), F.when(F.col("mix_source") != "", F.substring("mix_source", 2, 1 << 30)).alias("mix_source"), *added[1:])
+    block = F.when(F.col("total") == 0, F.lit(0).cast("long")).otherwise(F.floor((F.col("at") + F.col("mix_copy") * F.col("total")) / (F.col("mix_weight") * F.lit(float(block_tokens)))))
+    taken = taken.withColumn("mix_block", block).withColumn("mix_order", F.xxhash64("key", "mix_copy", "mix_block"))
+    return taken.select(*(field(c) for c in columns), F.when(F.col("mix_source") != "", F.substring("mix_source", 2, 1 << 30)).alias("mix_source"), *added[1:])

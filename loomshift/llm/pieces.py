@@ -15,6 +15,9 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+from .common import numbered, renamed
 
 SPACE = "▁"
 UNKNOWN = -1
@@ -274,9 +277,9 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
             arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "ids", "decoded"])
 
-    frame = docs.select(*(docs[c] for c in others), docs["text"].alias("__text"))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, f"{schema}, ids array<int>, decoded string")
+    frame = numbered(docs, others, F.col("text").cast("string").alias("words"))
+    schema = StructType(frame.schema.fields[:-1]).add("ids", ArrayType(IntegerType())).add("decoded", "string")
+    return renamed(frame.mapInArrow(run, schema), others, "ids", "decoded")
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:

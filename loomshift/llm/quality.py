@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ from .common import WORD, cut
 SYMBOLS = "#*$%&|<>"
 #: A word is common if it makes up this share of its language's words, so a language has at most a thousand.
 COMMON = 0.001
-#: Words that a language needs to be a reference; languages at most; words a task counts before it passes them on.
-LEAST_REFERENCE, MAX_LANGUAGES, KEPT_COUNTS = 500, 10_000, 400_000
+#: Words that a language needs to be a reference; languages of which the references go to the tasks together; words a task
+#: counts before it passes them on; words beyond which windows are compared as numbers.
+LEAST_REFERENCE, TOGETHER, KEPT_COUNTS, LONG = 500, 256, 400_000, 50_000
 #: Words that a document needs for either comparison, and the distances (0 to 1) beyond which it is rejected.
 LEAST_KINDS, LEAST_COMMON, MAX_KINDS, MAX_COMMON = 40, 60, 0.3, 0.44
 KINDS = ("lower", "upper", "digit", "blank", "stop", "shout", "symbol", "other", "mark")
@@ -71,6 +74,8 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, list[str]]:
     text = text or ""
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]
+    if len(words) > LONG:
+        return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), long_repeats(words), words
     grams = list(zip(*(words[k:] for k in range(5))))
     repeated = 0
     if len(set(grams)) < len(grams):
@@ -82,6 +87,21 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int, list[str]]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, words
 
 
+def long_repeats(words: list[str]) -> int:
+    """Words in 5-word windows that come twice or more, with numbers in place of windows: 8 bytes a word and step."""
+    numbers: dict[str, int] = {}
+    one = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
+    pairs = lambda a, b: np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
+    two = pairs(one[:-1], one[1:])
+    four = pairs(two[:-2], two[2:])
+    five = pairs(four[:-1], one[4:])
+    often = np.flatnonzero(np.bincount(five)[five] > 1)
+    covered = np.zeros(len(words) + 1, np.int64)
+    np.add.at(covered, often, 1)
+    np.add.at(covered, often + 5, -1)
+    return int((np.cumsum(covered[:-1]) > 0).sum())
+
+
 def common_counts(words: list[str], common: dict[str, float]) -> dict[str, int]:
     """Counts of the common words, and under "" of all others."""
     found = Counter(map(str.lower, words))
@@ -90,11 +110,8 @@ def common_counts(words: list[str], common: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def references(docs: DataFrame) -> dict[str, tuple[dict, dict]]:
-    """language -> (character kinds, common words) over all documents; languages of too few words have none.
-
-    Raises ValueError beyond MAX_LANGUAGES languages, as the references go to every task.
-    """
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, key, n) over all documents: lower-cased words, and " words" and the kinds of characters after a blank."""
 
     def count(batches):
         held: dict[str, Counter] = {}
@@ -119,22 +136,37 @@ def references(docs: DataFrame) -> dict[str, tuple[dict, dict]]:
         yield from flush()
 
     frame = docs.select(_language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = cut(frame.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).where("n > 0"))
+    return cut(frame.mapInArrow(count, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).where("n > 0"))
+
+
+def _between(first: str | None, last: str | None):
+    """The languages from first up to but without last; null stands for no border."""
+    after = F.lit(True) if first is None else F.col("lang") >= F.lit(first)
+    return after if last is None else after & (F.col("lang") < F.lit(last))
+
+
+def references(counts: DataFrame) -> list[tuple[str | None, str | None, dict]]:
+    """(first, last, language -> (character kinds, common words)): ranges of languages with at most TOGETHER references.
+
+    Languages of too few words have none. A reference has at most 1 / COMMON words, so each range is of a bounded size.
+    """
     totals = counts.where("key = ' words'").select("lang", F.col("n").alias("all_words")).where(f"all_words >= {LEAST_REFERENCE}")
-    if len(totals.take(MAX_LANGUAGES + 1)) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # at most 1 / COMMON words and the kinds for each of a bounded number of languages
-    rows = counts.join(F.broadcast(totals), "lang").where((F.col("n") >= F.col("all_words") * COMMON) | F.col("key").startswith(" ")).collect()
-    out: dict[str, tuple[dict, dict]] = {}
-    for lang, key, n, words in rows:
-        kinds, common = out.setdefault(lang, ({}, {"": words}))
-        if key.startswith(" "):
-            if key != " words":
-                kinds[key[1:]] = n
-        else:
-            common[key] = n
-            common[""] -= n
-    return out
+    names = sorted((r[0] for r in totals.select("lang").toLocalIterator()), key=lambda x: x.encode())
+    borders = [None, *names[TOGETHER::TOGETHER], None]
+    ranges = []
+    for first, last in zip(borders, borders[1:]):
+        met = counts.where(_between(first, last)).join(totals, "lang")
+        out: dict[str, tuple[dict, dict]] = {}
+        for lang, key, n, words in met.where((F.col("n") >= F.col("all_words") * COMMON) | F.col("key").startswith(" ")).collect():
+            kinds, common = out.setdefault(lang, ({}, {"": words}))
+            if key.startswith(" "):
+                if key != " words":
+                    kinds[key[1:]] = n
+            else:
+                common[key] = n
+                common[""] -= n
+        ranges.append((first, last, out))
+    return ranges
 
 
 def _language(docs: DataFrame):
@@ -147,9 +179,18 @@ def quality_rules(docs: DataFrame, max_kinds: float = MAX_KINDS, max_common: flo
     base_failed: fewer than 10 words, or over 20 in 100 words within repeated 5-word windows. kept is false for these and
     for texts whose character kinds or common words are further from their language's reference than allowed. A distance
     is null, and does not reject, if the text has too few words for it or its language no reference. A null text counts as
-    empty; a null or missing lang is a language of its own. Rows come back one for one; other columns are ignored.
+    empty; a null or missing lang is a language of its own. Rows come back one for one; other columns are ignored. With more
+    than TOGETHER languages, documents are judged range by range of their languages, each in a pass of its own. Texts may be
+    of any length; an empty table gives an empty result.
     """
-    known = docs.sparkSession.sparkContext.broadcast(references(docs))
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
+    passes = [_judged(frame.where(_between(first, last)), found, max_kinds, max_common) for first, last, found in references(word_counts(docs))]
+    return reduce(DataFrame.union, passes)
+
+
+def _judged(frame: DataFrame, references: dict, max_kinds: float, max_common: float) -> DataFrame:
+    """quality_rules of frame (doc_id, lang, text), given the references of its languages."""
+    known = frame.sparkSession.sparkContext.broadcast(references)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kind_distance", "word_distance"]
 
     def run(batches):
@@ -170,5 +211,4 @@ def quality_rules(docs: DataFrame, max_kinds: float = MAX_KINDS, max_common: flo
             types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
 
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language(docs).alias("lang"), F.col("text").cast("string").alias("text"))
     return frame.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, kind_distance double, word_distance double")

@@ -7,7 +7,7 @@ document has. Pairs that meet are deduplicated, verified by their differing bits
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, field, packed
 from .components import connected_components
 
 SEED = 42
@@ -28,23 +28,26 @@ def fingerprint(text: str | None, width: int = 3, fold_case: bool = True) -> int
     if not words:
         return 0
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    grams = [join(x) for x in zip(*(words[i:] for i in range(width)))] if len(words) >= width else [join(words)]
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, len(grams), 65536):
-        part = np.array([digest(g, SEED) for g in grams[start : start + 65536]], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > len(grams)))
+    shingles = zip(*(words[i:] for i in range(width))) if len(words) >= width else iter([words])
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    while part := [digest(join(x), SEED) for x in islice(shingles, 65536)]:
+        bits = np.unpackbits(np.array(part, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        total += len(part)
+    return sum(1 << int(i) for i in np.flatnonzero(2 * ones > total))
 
 
 def fingerprints(docs: DataFrame, width: int = 3, fold_case: bool = True) -> DataFrame:
-    """(doc_id, fingerprint) with the fingerprint as a signed long."""
+    """(doc_id, row, fingerprint): row is a hash of the text, the fingerprint a signed long."""
 
     def run(batches):
         for batch in batches:
             prints = [fingerprint(t, width, fold_case) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "row", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    text = F.col("text").cast("string")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return named.mapInArrow(run, "doc_id long, row long, fingerprint long")
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -64,30 +67,40 @@ def fingerprint_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def _components(docs: DataFrame, width: int, radius: int, fold_case: bool) -> DataFrame:
+    """(doc_id, row, fingerprint, component_id) for every row of docs."""
+    prints = cut(fingerprints(docs, width, fold_case))
+    # dealt out anew, as each fingerprint grows to all its variants in the next step
+    nodes = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).repartition(docs.sparkSession.sparkContext.defaultParallelism, "fingerprint"))
+    members = connected_components(fingerprint_links(nodes.where("node is not null"), radius))
+    named = nodes.join(members, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, "fingerprint").select("doc_id", "row", "fingerprint", "component_id")
+
+
 def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, fold_case: bool = True) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     fingerprint is 16 lowercase hex digits, component_id the smallest doc_id that links reach, itself included.
     Null and blank texts have fingerprint zero and link like any other. Repeated rows come back as often as they came.
     A null doc_id keeps its row; it takes part under the other ids of its fingerprint and has a null component if alone.
-    Other columns of docs are ignored; an empty table gives an empty result.
+    Other columns of docs are ignored; an empty table gives an empty result. Texts may be of any length.
     """
-    prints = cut(fingerprints(docs, width, fold_case))
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    nodes = cut(nodes)
-    members = connected_components(fingerprint_links(nodes.where("node is not null"), radius))
-    named = nodes.join(members, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    out = prints.join(named, "fingerprint")
+    out = _components(docs, width, radius, fold_case)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of docs, one document of each component: that with the smallest doc_id.
+    """The rows of docs, one row of each component: that with the smallest doc_id.
 
-    The columns of docs stay as they are, whatever their names. Of repeated rows (equal doc_id and text) one stays. Rows
-    without doc_id cannot be named as anyone's copy and stay.
+    Of several texts of that doc_id the one with the smallest hash stays, and of rows equal in both the first by the other
+    columns. Rows without doc_id cannot be named as anyone's copy and stay. The columns of docs stay as they are, whatever
+    their names.
     """
-    keep = simhash_components(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct().select(F.col("doc_id").alias("__keep_id"))
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep_id"), "left").where("__keep_id is not null or doc_id is null")
-    rank = F.row_number().over(Window.partitionBy("__keep_id", F.xxhash64("text"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).orderBy(F.lit(0)))
-    return kept.withColumn("__keep_rank", rank).where("__keep_rank = 1 or doc_id is null").select(*(docs[c] for c in docs.columns))
+    found = _components(docs, width, radius, True).where("doc_id is not null")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("doc"), F.col("first.row").alias("row"), F.lit(True).alias("keep"))
+    rows = packed(docs, docs.columns, doc=F.col("doc_id").cast("long"), row=F.xxhash64(F.col("text").cast("string")))
+    kept = rows.join(keep, ["doc", "row"], "left").where("keep or doc is null")
+    others = F.to_json(F.struct(*(field(c) for c in docs.columns if c.lower() != "text")))
+    copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy(others))
+    return kept.withColumn("copy", copy).where("copy = 1 or doc is null").select(*(field(c) for c in docs.columns))

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import cut
+from .common import cut, numbered, renamed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents that the weights are fitted on at most; features at most; words a worker keeps; features a task
@@ -46,14 +47,11 @@ class _Known(dict):
         return found
 
 
-def sparse_row(text: str | None, known: _Known, n_features: int) -> tuple[dict[int, float], int]:
-    """(feature -> value, words that bear a feature): 1 for each feature present, and how much there is in the last place."""
+def sparse_row(text: str | None, known: _Known) -> tuple[dict[int, float], int]:
+    """(feature -> 1 for each feature present, how many words bear a feature)."""
     words = LETTERS.findall((text or "").lower())
     hits = [f for f in map(known.__getitem__, words) if f]
-    row: dict[int, float] = dict.fromkeys((i for f in hits for i in f), 1.0)
-    if hits:
-        row[n_features] = float(np.log1p(len(hits)))
-    return row, len(hits)
+    return dict.fromkeys((i for f in hits for i in f), 1.0), len(hits)
 
 
 @dataclass
@@ -119,8 +117,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_feat
     """Fit on at most ``fit_rows`` labelled documents, those with the smallest hash of their id.
 
     Features are words and stems that toxic documents have significantly more often.
-    Toxic documents are graded 1 to 3 by how many of their words bear such a feature, in terciles; others are 0.
-    Without labels of both kinds the model has no features and calls nothing toxic.
+    Toxic documents are graded 1 to 3 by how many of their words bear such a feature, in terciles; others are 0. The
+    features say which of these words there are, not how many.
+    Without labels of both kinds the model has no features and calls nothing toxic. Null ids and labels do not count, null
+    texts count as empty, and other columns are ignored.
     """
     marked = labelled(docs, labels, fit_rows)
 
@@ -166,19 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, max_feat
     def rows_of(batches):
         known = _Known(index)
         for batch in batches:
-            found = [sparse_row(x, known, width)[0] for x in batch.column("text").to_pylist()]
-            columns = [pa.array([list(r) for r in found], pa.list_(pa.int64())), pa.array([list(r.values()) for r in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *columns], ["id", "toxic", "at", "value"])
+            found = [sparse_row(x, known) for x in batch.column("text").to_pylist()]
+            columns = [pa.array([list(r) for r, _ in found], pa.list_(pa.int64())), pa.array([list(r.values()) for r, _ in found], pa.list_(pa.float64())), pa.array([x for _, x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), *columns], ["id", "toxic", "at", "value", "hits"])
 
-    few = marked.mapInArrow(rows_of, "id long, toxic boolean, at array<long>, value array<double>").orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
+    few = marked.mapInArrow(rows_of, "id long, toxic boolean, at array<long>, value array<double>, hits long").orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
     rows = [dict(zip(r["at"], r["value"])) for r in few]
     toxic = np.array([r["toxic"] for r in few], bool)
     if not width or not toxic.any():
         return OrdinalModel([], np.zeros(1), np.arange(1, GRADES + 1) * 10.0, GRADES)
-    amount = np.array([r.get(width, 0.0) for r in rows])
-    borders = np.quantile(amount[toxic], [1 / 3, 2 / 3])
-    grades = np.where(toxic, 1 + np.searchsorted(borders, amount, side="left"), 0)
-    weights, thresholds = fit_ordinal(rows, grades, width + 1, GRADES)
+    hits = np.array([r["hits"] for r in few])
+    borders = np.quantile(hits[toxic], [1 / 3, 2 / 3])
+    grades = np.where(toxic, 1 + np.searchsorted(borders, hits, side="left"), 0)
+    weights, thresholds = fit_ordinal(rows, grades, width, GRADES)
     return OrdinalModel(features, weights, thresholds, GRADES)
 
 
@@ -189,21 +189,21 @@ def score(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> DataF
     """
     added = ("p_toxic", "expected_severity", "grade", "toxic")
     others = [c for c in docs.columns if c.lower() not in added]
-    frame = docs.select(*(docs[c] for c in others), docs["text"].cast("string").alias("__text"))
+    frame = numbered(docs, others, F.col("text").cast("string").alias("words"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         known = _Known({f: i for i, f in enumerate(m.features)})
         for batch in batches:
-            rows = [sparse_row(t, known, len(m.features))[0] for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [sparse_row(t, known)[0] for t in batch.column(batch.num_columns - 1).to_pylist()]
             above = m.at_least(rows)
             p = above[:, 0] if len(rows) else np.zeros(0)
             columns = [pa.array(p), pa.array(above.sum(axis=1)), pa.array((above >= reject_at).sum(axis=1), pa.int32()), pa.array(p >= reject_at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *added])
 
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
-    return frame.mapInArrow(run, f"{schema}, p_toxic double, expected_severity double, grade int, toxic boolean")
+    schema = StructType(frame.schema.fields[:-1]).add("p_toxic", "double").add("expected_severity", "double").add("grade", "integer").add("toxic", "boolean")
+    return renamed(frame.mapInArrow(run, schema), others, *added)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> DataFrame:
@@ -215,7 +215,8 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) ->
         m = shared.value
         known = _Known({f: i for i, f in enumerate(m.features)})
         for batch in batches:
-            rows = [sparse_row(t, known, len(m.features))[0] for t in batch.column(at).to_pylist()]
+            rows = [sparse_row(t, known)[0] for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(m.at_least(rows)[:, 0] < reject_at)) if rows else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    frame = numbered(docs, docs.columns)
+    return renamed(frame.mapInArrow(run, frame.schema), docs.columns)

@@ -164,7 +164,8 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel, np.nda
     """The label model over all documents, and the scorer's weights.
 
     The scorer is fitted on at most ``fit_rows`` documents, those with the smallest hash of id and text, each labelled by
-    its pattern's posterior.
+    its pattern's posterior. Repeated rows count once in that sample. Null texts count as empty, null ids like any other; an
+    empty table gives a model that knows nothing. Other columns are ignored.
     """
     frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -187,10 +188,11 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[LabelModel, np.nda
                 out.append((sum(x * 3**k for k, x in enumerate(votes(s))), features(text, s)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([list(f) for _, f in out], pa.list_(pa.int64())), pa.array([[float(x) for x in f.values()] for _, f in out], pa.list_(pa.float64()))], ["pattern", "at", "value"])
 
-    # The cut-off of the hash is read from the ids first, so that only the sample's texts are looked at.
-    keys = frame.select(F.xxhash64("doc_id").alias("key"))
-    few = keys.orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
-    sample = frame.where(F.xxhash64("doc_id") <= F.lit(few)).select("text").limit(2 * fit_rows) if few is not None else frame.limit(0)
+    # Equal rows have one key and count once, so the cut-off lets through exactly the sample however many repeats there are.
+    key = F.xxhash64("doc_id", "text")
+    few = frame.select(key.alias("key")).distinct().orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
+    sample = frame.select(key.alias("key"), "text").where(F.col("key") <= F.lit(few)) if few is not None else frame.select(key.alias("key"), "text").limit(0)
+    sample = sample.groupBy("key").agg(F.first("text").alias("text")).select("text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
     rows = cut(sample.mapInArrow(describe, "pattern long, at array<long>, value array<double>")).collect()
     weights = fit_scorer([dict(zip(r["at"], r["value"])) for r in rows], np.array([labels.patterns.get(r["pattern"], labels.prior) for r in rows]))
     return labels, weights
