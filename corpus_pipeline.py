@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomshift.llm import linededup, mixing, pieces, simhash
 from loomshift.llm import toxicity as tox
-from loomshift.llm.common import delete_path, scratch, table
+from loomshift.llm.common import delete_path, quoted, scratch, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line of any document resembles go; n_chars follows the text."""
     kept = linededup.line_dedup(docs)
     columns = {c: F.length("text").cast(t).alias(c) for c, t in docs.dtypes if c == "n_chars"}
-    return kept.select(*(columns.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    return kept.select(*(columns.get(c, F.col(quoted(c))) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources take their target weights: every document is used, those of small sources may be repeated."""
     mixed = mixing.mixture(docs)
     ordered = mixed.repartitionByRange("mix_block", "mix_order").sortWithinPartitions("mix_block", "mix_order")
-    return ordered.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return ordered.select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
