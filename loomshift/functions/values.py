@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: The class patterns in their order; the first that most values match wins.
 CLASSES = {
-    "guid": r"^\{?[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\}?$",
+    "guid": r"^(\{[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\}|[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12})$",
     "email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$",
     "url": r"(?i)^((https?|ftp)://|www\.)\S+$",
     "datetime": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,7})?)?(Z|[+-]\d{2}:?\d{2})?$|^\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}[ T]\d{1,2}:\d{2}(:\d{2})?(\s?[AaPp][Mm])?$",

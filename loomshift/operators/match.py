@@ -72,6 +72,51 @@ def structure_score(same_pk_role: bool, fk_role: float, same_identity: bool, sou
     return (same_pk_role + fk_role + same_identity + nulls) / 4
 
 
+#: Words of a column's name that a class of values calls for, and how far a class suits a family of types.
+CLASS_WORDS = {
+    "email": ("email", "mail"), "phone": ("phone", "telephone", "mobile", "fax"), "url": ("url", "website", "link", "uri"),
+    "postal_code": ("postal", "zip", "postcode"), "country_code": ("country",),
+}
+CLASS_FAMILIES = {
+    "guid": {"guid": 1.0}, "date": {"date": 1.0, "datetime": 1.0}, "datetime": {"date": 1.0, "datetime": 1.0}, "flag": {"bit": 1.0}, "text": {"string": 1.0},
+    "integer": {"integer": 1.0, "decimal": 1.0, "float": 1.0, "string": 0.5, "": 0.2}, "decimal": {"decimal": 1.0, "float": 1.0, "integer": 0.5, "": 0.2},
+}
+POOR_FIT = 0.3
+
+
+def class_fit(name: str, family: str, length: int, tokens: list[str]) -> float:
+    """How far a class of values suits a column by its name or its type."""
+    if name in CLASS_WORDS:
+        return 1.0 if set(CLASS_WORDS[name]) & {t.lower() for t in tokens} else POOR_FIT
+    if name == "flag" and family == "string" and length == 1:
+        return 1.0
+    known = CLASS_FAMILIES.get(name, CLASS_FAMILIES["text"])
+    return known.get(family, known.get("", POOR_FIT))
+
+
+def profile_score(source: dict | None, target: dict | None, family: str, length: int, required: bool, unique: bool, tokens: list[str]) -> float | None:
+    """How like the values of two columns are: the mean of what can be compared; None without a profile of the source.
+
+    Where the target has no profile, its type, name, length and keys stand in for one.
+    """
+    if not source or not source.get("sampled_rows"):
+        return None
+    seen = target if target and target.get("sampled_rows") else {}
+    parts = []
+    kind, other = source.get("semantic_class"), seen.get("semantic_class")
+    if kind:
+        parts.append(float(kind == other) if other else class_fit(kind, family, length, tokens))
+    parts.append(1 - abs(source["null_ratio"] - seen["null_ratio"]) if seen else float(not (required and source["nulls"])))
+    many, others = source.get("distinct_ratio"), seen.get("distinct_ratio")
+    if many is not None and (others is not None or unique):
+        parts.append(1 - abs(many - others) if others is not None else many)
+    longest, room = source.get("max_len") or 0, seen.get("max_len") or 0
+    if longest > 0 and family == "string":
+        bound = room or length
+        parts.append(min(longest, room) / max(longest, room) if room else 1.0 if bound <= 0 else min(1.0, bound / longest))
+    return sum(parts) / len(parts)
+
+
 def method_of(name_similarity: float, exact: bool) -> str:
     return "exact" if exact else "fuzzy" if name_similarity >= FUZZY_NAME else "vector"
 

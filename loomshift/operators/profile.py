@@ -18,6 +18,13 @@ def sample(df: DataFrame, rows: int = SAMPLE_ROWS, keys: list[str] | None = None
     return df.orderBy(*keys).limit(rows) if keys else df.limit(rows)
 
 
+def bound(value, kind: str):
+    """A bound as text: bits as numbers, bytes in hexadecimal digits."""
+    if kind == "boolean":
+        return value.cast("tinyint").cast("string")
+    return F.concat(F.lit("0x"), F.hex(value)) if kind == "binary" else value.cast("string")
+
+
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, distinct_values): values of all columns one under another, so a row grows by its values and no more.
 
@@ -34,14 +41,14 @@ def column_profiles(df: DataFrame, columns: list[str] | None = None) -> DataFram
     All columns of a batch come from one aggregate over one scan, but for the distinct values; the long form is made from
     its single row.
     """
-    columns = columns or df.columns
+    columns, kinds = columns or df.columns, dict(df.dtypes)
     parts = []
     for k in range(0, len(columns), BATCH):
         some = columns[k : k + BATCH]
         text = {c: df.schema[c].dataType.simpleString() == "string" for c in some}
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(some):
-            aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls{i}"), F.min(c).cast("string").alias(f"min{i}"), F.max(c).cast("string").alias(f"max{i}")]
+            aggs += [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls{i}"), bound(F.min(c), kinds[c]).alias(f"min{i}"), bound(F.max(c), kinds[c]).alias(f"max{i}")]
             if text[c]:
                 aggs += [F.max(text_length(F.col(c))).alias(f"len{i}"), F.round(F.avg(text_length(F.col(c))), 6).alias(f"avg{i}")]
         rows = []
@@ -74,6 +81,11 @@ def top_patterns(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def pattern_rows(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """The rows that shapes are taken from: the first so many, as texts of at most 200 characters."""
+    return sample(df, PATTERN_ROWS, keys).select(*(F.substring(F.col(c).cast("string"), 1, 200).alias(c) for c in columns))
+
+
 def first_samples(df: DataFrame, column: str, keys: list[str], k: int = 3) -> DataFrame:
     """The first k different non-empty values in key order."""
     place = F.struct(*keys)

@@ -6,10 +6,12 @@ import math
 from collections import Counter
 
 from ..functions.names import Synonyms, name_tokens
-from ..functions.types import check_types, parse_type
+from ..functions.types import Sampled, check_types, parse_type
 from ..operators import match
 from ..sources.catalog import Catalog, Column, Table
 
+#: Words of a description that a search looks at.
+DESCRIBED = 8
 EMPTY_REASON = "the source table is empty and nothing uses it"
 
 
@@ -84,12 +86,29 @@ def structure(t: Table, y: Column, s: Table, x: Column, pairs: dict[str, str]) -
     return match.structure_score((y.name in t.primary_key) == (x.name in s.primary_key), role, y.identity == x.identity, x.nullable, y.nullable)
 
 
-def automap(source: Catalog, target: Catalog, synonyms: Synonyms | None = None, candidate: float = match.CANDIDATE) -> dict:
+def sampled(profile: dict | None) -> Sampled | None:
+    """What a profile tells of a conversion's risks."""
+    return Sampled(profile["sampled_rows"], profile.get("min_text"), profile.get("max_text"), profile.get("max_len")) if profile else None
+
+
+def column_scores(names: "Names", t: Table, y: Column, s: Table, x: Column, pairs: dict[str, str], profiles: dict, target_profiles: dict) -> tuple[float, float, str | None]:
+    """(score, likeness of the names, risk) of a pair of columns."""
+    name = names.column_similarity(t, y, s, x)
+    goal, seen = parse_type(y.data_type), profiles.get((s.key, x.name))
+    kind = check_types(parse_type(x.data_type), goal, sampled(seen))
+    unique = [y.name] in (t.primary_key, *t.unique)
+    length = y.max_length or (goal.length if goal.family == "string" else 0)
+    profile = match.profile_score(seen, target_profiles.get((t.key, y.name)), goal.family, length, not y.nullable, unique, names.column_tokens(t, y))
+    return match.column_score(name, kind.score, structure(t, y, s, x, pairs), profile), name, kind.risk
+
+
+def automap(source: Catalog, target: Catalog, synonyms: Synonyms | None = None, candidate: float = match.CANDIDATE, profiles: dict | None = None, target_profiles: dict | None = None) -> dict:
     """A draft: the best source of each target table, columns assigned one to one, and empty sources that nothing uses dropped.
 
     Target tables whose best score is below ``candidate`` stay unmapped. Every table and column tells its score, the method
-    (exact, fuzzy or vector) and the three best candidates.
+    (exact, fuzzy or vector) and the three best candidates. Profiles are by (table, column).
     """
+    profiles, target_profiles = profiles or {}, target_profiles or {}
     names = Names(source, target, synonyms)
     scores = {}
     for t in target.tables.values():
@@ -104,11 +123,10 @@ def automap(source: Catalog, target: Catalog, synonyms: Synonyms | None = None,
         triples = []
         for y in writable(t):
             for x in s.columns:
-                name = names.column_similarity(t, y, s, x)
-                kind = check_types(parse_type(x.data_type), parse_type(y.data_type))
+                score, name, risk = column_scores(names, t, y, s, x, pairs, profiles, target_profiles)
                 if y.identity and x.name not in s.primary_key:
                     continue  # an identity column takes a key or nothing
-                triples.append((y.name, x.name, match.column_score(name, kind.score, structure(t, y, s, x, pairs), None), name, kind.risk))
+                triples.append((y.name, x.name, score, name, risk))
         chosen = match.greedy_assignment([p[:4] for p in triples], candidate)
         columns = {}
         for y_name, (x_name, score) in chosen.items():
@@ -133,15 +151,21 @@ def needs_attention(mapping: dict, accept: float = match.AUTO_ACCEPT) -> list[st
     return out
 
 
-def search(catalogs: list[Catalog], text: str, k: int = 10, side: str | None = None, kind: str | None = None, synonyms: Synonyms | None = None) -> list[tuple[float, str, str, str]]:
-    """(score, side, kind, key) of the tables and columns most like a text, best first; a column's vector takes in half of its table's."""
+def search(catalogs: list[Catalog], text: str, k: int = 10, side: str | None = None, kind: str | None = None, synonyms: Synonyms | None = None, classes: dict | None = None) -> list[tuple[float, str, str, str]]:
+    """(score, side, kind, key) of the tables and columns most like a text, best first.
+
+    A column's vector takes in half of its table's, the words of its class of values (by (table, column)) and the first
+    words of its description.
+    """
     synonyms = synonyms or Synonyms()
     rows = []
     for c in catalogs:
         for t in c.tables.values():
             own = name_tokens(t.key.rpartition(".")[2], synonyms)
             rows.append((c.side, "table", t.key, own, None))
-            rows += [(c.side, "column", f"{t.key}.{x.name}", name_tokens(x.name, synonyms, frozenset(own)), own) for x in t.columns]
+            for x in t.columns:
+                more = name_tokens((classes or {}).get((t.key, x.name)) or "", synonyms) + name_tokens(x.description or "", synonyms)[:DESCRIBED]
+                rows.append((c.side, "column", f"{t.key}.{x.name}", name_tokens(x.name, synonyms, frozenset(own)) + more, own))
     vectors = Vectors([r[3] for r in rows])
     wanted = vectors.of(name_tokens(text, synonyms))
     hits = []

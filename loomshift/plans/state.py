@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+
+from .store import Store
 
 #: Phases in order.
 PHASES = ("setup", "discovery", "analysis", "mapping", "sql", "ready", "transfer", "complete")
@@ -80,6 +82,29 @@ class Project:
                 self.status[p] = "stale"
         self.status["transfer"], self.started = "pending", False
 
+    def supersede(self, phase: str) -> None:
+        """Remarks that were never answered fall with the version that they spoke of."""
+        for f in self.feedback.get(phase, []):
+            if f.status in ("draft", "open"):
+                f.status = "superseded"
+
+    def save(self, store: Store, name: str = "project") -> int:
+        """Write the review as a new numbered file, whole or not at all, and return its number."""
+        number = len(store.names(f"_review/{name}")) + 1
+        value = {"status": self.status, "versions": self.versions, "feedback": {p: [asdict(f) for f in x] for p, x in self.feedback.items()}, "started": self.started}
+        store.write_new(f"_review/{name}/{number:08d}.json", value)
+        return number
+
+    @classmethod
+    def load(cls, store: Store, name: str = "project") -> Project | None:
+        """The review as it was saved last."""
+        numbers = [n for n in store.names(f"_review/{name}") if n.endswith(".json") and not n.startswith("_")]
+        if not numbers:
+            return None
+        told = store.read_json(f"_review/{name}/{numbers[-1]}")
+        feedback = {p: [Feedback(**f) for f in x] for p, x in told["feedback"].items()}
+        return cls(told["status"], {p: [tuple(v) for v in x] for p, x in told["versions"].items()}, feedback, told["started"])
+
     def next(self) -> tuple[str, str]:
         """(phase, what it waits for) of the first phase that is not approved."""
         for p in PHASES:

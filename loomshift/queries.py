@@ -8,13 +8,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import temporal
 from .functions.keys import keyset_after
 from .functions.names import identifier_words
-from .operators import load, match, profile, reconcile
+from .operators import load, match, profile, reconcile, summary
 from .plans import plan, preflight, report, runner
 from .plans.constraints import constraints_of, rules_from
 from .sources import catalog
@@ -45,9 +45,9 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     group by o_custkey""")
 def fk_orphans(spark, sf_dir):
     """Orders whose customer is missing from a filtered parent."""
-    orders = t(spark, sf_dir, "orders").select("o_custkey")
-    parent = t(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select("c_custkey")
-    return orders.where("o_custkey is not null").join(parent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").groupBy("o_custkey").agg(F.count("*").alias("orphans"))
+    key = catalog.ForeignKey("FK_CUSTOMER", ["o_custkey"], "customer", ["c_custkey"])
+    found = catalog.orphans(t(spark, sf_dir, "orders"), key, t(spark, sf_dir, "customer").where("c_custkey % 10 <> 0"))
+    return found.groupBy("o_custkey").agg(F.count("*").alias("orphans"))
 
 
 flagship = fk_orphans
@@ -81,12 +81,28 @@ def top_patterns(spark, sf_dir):
     return profile.top_patterns(t(spark, sf_dir, "part"), ["p_name", "p_brand"])
 
 
-@query("""
-    select 'url' as "column", case when 5 * count(*) filter (regexp_matches(url, '(?i)^((https?|ftp)://|www\\.)\\S+$')) >= 4 * count(*) then 'url' else 'text' end as class from pages
-    union all select 'text', 'text' from (select 1)""")
+#: Columns made of customers' keys: by name, an expression that both dialects read, the class, and which keys get no such value.
+_CLASSED = {
+    "mail": ("concat('user', c_custkey, '@mail.example')", "email", 7), "mixed": ("concat('user', c_custkey, '@mail.example')", "email", 3),
+    "guid": ("concat(lpad(cast(c_custkey as varchar(20)), 8, '0'), '-1111-2222-3333-444455556666')", "guid", 9), "phone": ("concat('+1 555 ', lpad(cast(c_custkey as varchar(20)), 7, '0'))", "phone", 6),
+    "zip": ("lpad(cast(c_custkey % 99999 as varchar(20)), 5, '0')", "postal_code", 8), "country": ("case c_custkey % 3 when 0 then 'DE' when 1 then 'FR' else 'US' end", "country_code", 11),
+    "flag": ("case c_custkey % 2 when 0 then 'Y' else 'n' end", "flag", 10), "day": ("concat('2024-01-', lpad(cast(1 + c_custkey % 28 as varchar(20)), 2, '0'))", "date", 12),
+    "moment": ("concat('2024-01-', lpad(cast(1 + c_custkey % 28 as varchar(20)), 2, '0'), 'T10:00:00Z')", "datetime", 13), "whole": ("cast(c_custkey + 1000000 as varchar(20))", "integer", 14),
+    "part": ("concat(c_custkey, '.25')", "decimal", 15), "site": ("concat('https://example.org/', c_custkey)", "url", 16), "name": ("c_name", "text", 5),
+}
+
+
+def _classed(name: str) -> str:
+    value, _, odd = _CLASSED[name]
+    return f"case when c_custkey % {odd} = 0 then 'none of these' else {value} end"
+
+
+@query(" union all ".join(f"""select '{n}' as "column", case when 5 * count(*) filter (c_custkey % {odd} <> 0) >= 4 * count(*) then '{kind}' else 'text' end as class from customer""" for n, (_, kind, odd) in _CLASSED.items())
+    + """ union all select 'url', case when 5 * count(*) filter (regexp_matches(url, '(?i)^((https?|ftp)://|www\\.)\\S+$')) >= 4 * count(*) then 'url' else 'text' end from pages""")
 def semantic_class(spark, sf_dir):
-    pages = t(spark, sf_dir, "pages").select("url", F.lit("no class at all").alias("text"))
-    return profile.semantic_classes(pages, ["url", "text"])
+    """All eleven classes, each with some values of none; and one column whose share is too low."""
+    customers = t(spark, sf_dir, "customer").select(*(F.expr(_classed(n)).alias(n) for n in _CLASSED))
+    return profile.semantic_classes(customers, list(_CLASSED)).unionByName(profile.semantic_classes(t(spark, sf_dir, "pages"), ["url"]))
 
 
 @query("""
@@ -146,8 +162,7 @@ def lookup_merge(spark, sf_dir):
 
 @query("select c_custkey, (select min(o_orderkey) from orders o where o.o_custkey = c.c_custkey) as first_order from customer c")
 def primary_child(spark, sf_dir):
-    first = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"))
-    return t(spark, sf_dir, "customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "first_order")
+    return summary.least_child(t(spark, sf_dir, "customer"), "c_custkey", t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "first_order").select("c_custkey", "first_order")
 
 
 def _rules(spark, sf_dir) -> load.Constraints:
@@ -333,25 +348,35 @@ def uncovered_columns(spark, sf_dir):
     with c as (select count(*) as n from orders union all select count(*) from lineitem union all select count(*) from customer)
     select sum(n)::bigint as rows, ceil(sum(n) / 50000 / 60 * 10) / 10 as minutes from c""")
 def volume_estimate(spark, sf_dir):
-    rows = None
-    for name in ("orders", "lineitem", "customer"):
-        one = t(spark, sf_dir, name).agg(F.count("*").alias("n"))
-        rows = one if rows is None else rows.unionAll(one)
-    return rows.agg(F.sum("n").alias("rows"), (F.ceil(F.sum("n") / 50000 / 60 * 10) / 10).cast("double").alias("minutes"))
+    return summary.volume_estimate(summary.table_counts({n: t(spark, sf_dir, n) for n in ("orders", "lineitem", "customer")}))
 
 
 @query("""
     select severity, count(*) as findings from (select case when o_totalprice > 200000 then 'high' when o_totalprice > 50000 then 'medium' else 'low' end as severity from orders) group by severity""")
 def severity_counts(spark, sf_dir):
     level = F.when(F.col("o_totalprice") > 200000, "high").when(F.col("o_totalprice") > 50000, "medium").otherwise("low")
-    return t(spark, sf_dir, "orders").groupBy(level.alias("severity")).agg(F.count("*").alias("findings"))
+    return summary.by_severity(t(spark, sf_dir, "orders").select(level.alias("severity")))
+
+
+@query("""
+    select rule, count(*) as findings, list(object order by object) filter (place <= 3) as examples
+    from (select o_orderpriority as rule, o_orderkey as object, row_number() over (partition by o_orderpriority order by o_orderkey) as place from orders) group by rule""")
+def findings_by_rule(spark, sf_dir):
+    return summary.by_rule(t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("rule"), F.col("o_orderkey").alias("object")))
+
+
+@query("""
+    with c as (select 'orders' as k, count(*) as n from orders union all select 'lineitem', count(*) from lineitem union all select 'region', count(*) from region)
+    select count(*) as tables, sum(n)::bigint as rows, count(*) filter (n = 0) as empty, max_by(k, n) as largest from c""")
+def database_summary(spark, sf_dir):
+    return summary.database_summary(summary.table_counts({n: t(spark, sf_dir, n) for n in ("orders", "lineitem", "region")}))
 
 
 @query("""
     select l_orderkey, sum(l_extendedprice) as total, count(*) as lines from lineitem group by l_orderkey order by total desc, l_orderkey limit 15""")
 def largest_first(spark, sf_dir):
     """A top-k report; the limit is the report's."""
-    return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.count("*").alias("lines")).orderBy(F.desc("total"), "l_orderkey").limit(15)
+    return summary.largest(t(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_extendedprice"))
 
 
 SQL["largest_first"] = "select l_orderkey, round(sum(l_extendedprice), 2) as total, count(*) as lines from lineitem group by l_orderkey order by total desc, l_orderkey limit 15"
@@ -359,7 +384,7 @@ SQL["largest_first"] = "select l_orderkey, round(sum(l_extendedprice), 2) as tot
 
 @query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
 def latest_row(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("event_type", "event_id").alias("event_type"))
+    return summary.latest(t(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
 @query("""
@@ -372,8 +397,18 @@ def name_words(spark, sf_dir):
     select o_orderkey, row_number() over (partition by o_custkey order by o_orderkey desc) as newest_first from orders qualify newest_first <= 5""")
 def error_samples(spark, sf_dir):
     """At most five samples a group, as in the final report."""
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey")))
-    return t(spark, sf_dir, "orders").select("o_orderkey", rank.alias("newest_first")).where("newest_first <= 5")
+    orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return summary.first_of_each(orders, "o_custkey", F.desc("o_orderkey"), "newest_first", 5).drop("o_custkey")
+
+
+@query("""
+    select n_name as name, list_value(lower(p_type), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)) as words, count(*) as n
+    from (select *, concat(p_type, upper(substr(split_part(p_name, ' ', 1), 1, 1)), substr(split_part(p_name, ' ', 1), 2), upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2)) as n_name from part) group by all""")
+def camel_words(spark, sf_dir):
+    """Names of an acronym and two words without blanks, as in ECONOMYColdWidget."""
+    two = [F.split("p_name", " ")[k] for k in (0, 1)]
+    name = F.concat("p_type", *(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))) for w in two))
+    return t(spark, sf_dir, "part").groupBy(name.alias("name")).agg(F.count("*").alias("n")).select("name", identifier_words(F.col("name")).alias("words"), "n")
 
 
 # Whole runs: a plan is generated from a mapping and catalogs, and loaded into a target of its own.

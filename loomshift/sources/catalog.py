@@ -115,8 +115,11 @@ def columns_frame(spark: SparkSession, catalog: Catalog) -> DataFrame:
     return spark.createDataFrame(rows, "side string, table_key string, column string, ordinal int, data_type string, nullable boolean")
 
 
+def orphans(child: DataFrame, key: ForeignKey, parent: DataFrame) -> DataFrame:
+    """The key columns of the child rows that have all of these and no parent."""
+    wanted = parent.select(*(F.col(p).alias(c) for p, c in zip(key.parent_columns, key.columns)))
+    return child.select(*key.columns).dropna().join(wanted, key.columns, "left_anti")
+
+
 def orphan_count(child: DataFrame, key: ForeignKey, parent: DataFrame) -> int:
-    """Child rows whose key columns are all there and have no parent."""
-    rows = child.select(*key.columns).dropna()
-    wanted = parent.select(*(F.col(p).alias(c) for p, c in zip(key.parent_columns, key.columns))).distinct()
-    return rows.join(wanted, key.columns, "left_anti").count()
+    return orphans(child, key, parent).count()

@@ -36,7 +36,7 @@ def test_name_tokens():
     "source, target, level, risk",
     [
         ("int", "int", "exact", None), ("int", "bigint", "widening", None), ("bigint", "int", "risky", "overflow possible (target int)"), ("tinyint", "varchar(3)", "widening", None),
-        ("money", "int", "risky", "fractional part truncated; overflow possible (target int)"), ("float", "real", "risky", "precision loss (float to real)"), ("nvarchar(20)", "varchar(20)", "risky", "non-ASCII characters may be lost"),
+        ("money", "int", "risky", "fractional part truncated; overflow possible (target int)"), ("float", "real", "risky", "a float may not fit a real"), ("nvarchar(20)", "varchar(20)", "risky", "non-ASCII characters may be lost"),
         ("varchar(300)", "nvarchar(200)", "risky", "may truncate (source max 300)"), ("text", "nvarchar(max)", "widening", None), ("datetime2(7)", "datetime", "risky", "fractional seconds rounded to 1/300 s; dates before 1753 fail"),
         ("int", "rowversion", "incompatible", "rowversion columns are generated by the server and cannot be written"), ("uniqueidentifier", "varchar(36)", "widening", None), ("date", "varchar(9)", "risky", "may truncate (needs 10 characters)"),
     ],
