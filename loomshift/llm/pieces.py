@@ -271,7 +271,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     others = [c for c in docs.columns if c.lower() not in ("text", "ids", "decoded")]
 
     def run(batches):
-        codec = codec_of(model)
+        codec = PieceCodec(model.value[1])  # of this task: what it has learnt must not stay while other stages run
         for batch in batches:
             ids = [codec.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in ids], pa.string())]
