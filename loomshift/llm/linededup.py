@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, cut, delete_path, field, packed, scratch, tidy_shuffles
+from .common import SPACE_SQL, cut, delete_path, numbered, scratch, tidy_shuffles
 
 #: Counters of words, how many of them a driver row holds, and the steps to a doubling that rarity tells apart.
 COUNTERS, ROW, STEPS = 1 << 18, 1 << 9, 2
@@ -176,18 +176,19 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     fine. An empty table gives an empty result, and lines may be of any length.
     """
     columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed_lines")]
-    rows = packed(docs, columns, doc=F.col("doc_id").try_cast("long"), text=F.col("text").cast("string"))
+    rows = numbered(docs, columns, F.col("doc_id").try_cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    field = {c: F.col(f"c{k}").alias(c) for k, c in enumerate(columns)}
     rows = rows.withColumn("row", F.xxhash64("text"))
     able = rows.where("doc is not null and text is not null").select("doc", "row", "text")
     stays = kept_lines(able, threshold).groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     joined = rows.join(stays.select("doc", "row", flags_of(F.col("lines")).alias("flags")), ["doc", "row"], "left")
     if not able.groupBy("doc", "row").count().where("count > 1").isEmpty():
-        other = F.to_json(F.struct(*(field(c) for c in columns if c.lower() != "text")))
+        other = F.to_json(F.struct(*(x for c, x in field.items() if c.lower() != "text")))
         copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy(other))
         joined = joined.withColumn("flags", F.when(F.col("doc").isNull() | (copy == 1), F.col("flags")))
     wordless = lambda x: ~x.rlike("[^\\x20\\x09-\\x0D]")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda x, k: F.coalesce(flagged("flags", k), F.lit(False)) | wordless(x))
-    named = joined.select("payload", lines.alias("lines"), F.when(F.col("doc").isNull(), lines).otherwise(left).alias("left"))
+    named = joined.select(*(f"c{k}" for k, c in enumerate(columns) if c.lower() != "text"), lines.alias("lines"), F.when(F.col("doc").isNull(), lines).otherwise(left).alias("left"))
     n_lines, n_left = (F.coalesce(F.size(c), F.lit(0)) for c in ("lines", "left"))
-    return named.select(*(F.array_join("left", "\n").alias(c) if c.lower() == "text" else field(c) for c in columns), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed_lines"))
+    return named.select(*(F.array_join("left", "\n").alias(c) if c.lower() == "text" else field[c] for c in columns), n_lines.alias("n_lines"), (n_lines - n_left).alias("n_removed_lines"))

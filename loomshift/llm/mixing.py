@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_SQL, cut, field, packed, quoted
+from .common import SPACE_SQL, cut, numbered, quoted, renamed
 
 #: Bits that the bisection settles in one pass over the sources, and passes.
 STEP_BITS, PASSES = 5, 5
@@ -78,7 +78,8 @@ def mixture(docs: DataFrame, entropy_gain: float = 0.25, max_repeats: float = 2.
     source = F.col(quoted(next(c for c in docs.columns if c.lower() == source_col.lower()))).cast("string")
     hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(seed))
     others = F.to_json(F.struct(*(F.col(quoted(c)) for c in columns if c.lower() != "text")))
-    rows = packed(docs, columns, mix_source=F.coalesce(F.concat(F.lit("="), source), F.lit("")), mix_tokens=token_count(F.col("text")), key=hashed, tie=F.xxhash64(others))
+    more = {"mix_source": F.coalesce(F.concat(F.lit("="), source), F.lit("")), "mix_tokens": token_count(F.col("text")), "key": hashed, "tie": F.xxhash64(others)}
+    rows = numbered(docs, columns, *(x.alias(name) for name, x in more.items()))
     rows = rows.withColumn("hi", F.shiftrightunsigned("key", 56)).withColumn("lo", F.shiftrightunsigned("key", 48).bitwiseAND(F.lit(255)))
     parts = cut(rows.groupBy("mix_source", "hi", "lo").agg(F.sum("mix_tokens").alias("t")))
     totals = cut(parts.groupBy("mix_source").agg(F.sum("t").alias("total")).where("total > 0"))
@@ -106,4 +107,5 @@ def mixture(docs: DataFrame, entropy_gain: float = 0.25, max_repeats: float = 2.
     taken = placed.withColumn("mix_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))))
     block = F.when(F.col("total") == 0, F.lit(0).cast("long")).otherwise(F.floor((F.col("at") + F.col("mix_copy") * F.col("total")) / (F.col("mix_weight") * F.lit(float(block_tokens)))))
     taken = taken.withColumn("mix_block", block).withColumn("mix_order", F.xxhash64("key", "mix_copy", "mix_block"))
-    return taken.select(*(field(c) for c in columns), F.when(F.col("mix_source") != "", F.substring("mix_source", 2, 1 << 30)).alias("mix_source"), *added[1:])
+    taken = taken.withColumn("mix_source", F.when(F.col("mix_source") != "", F.substring("mix_source", 2, 1 << 30)))
+    return renamed(taken, columns, *added)
