@@ -21,6 +21,10 @@ CLASSES = {
 }
 
 
+#: Digits and blanks of all scripts count as such.
+UNICODE = "(?U)"
+
+
 def value_pattern(value: Column) -> Column:
     """Upper-case letters as A, other letters as a, digits as 9, runs collapsed."""
     out = F.regexp_replace(value, r"\p{Lu}", "A")
@@ -30,13 +34,13 @@ def value_pattern(value: Column) -> Column:
 
 
 def in_class(name: str, value: Column) -> Column:
-    told = value.rlike(CLASSES[name])
-    return told & (F.length(F.regexp_replace(value, r"\D", "")) >= 7) if name == "phone" else told
+    told = value.rlike(UNICODE + CLASSES[name])
+    return told & (F.length(F.regexp_replace(value, UNICODE + r"\D", "")) >= 7) if name == "phone" else told
 
 
 def semantic_class(value: Column) -> Column:
     """Aggregate: the first class that at least four fifths of the trimmed, non-blank values match; text if none; null without values."""
-    text = F.trim(value.cast("string"))
+    text = F.regexp_replace(value.cast("string"), UNICODE + r"^\s+|\s+$", "")
     present = F.count(F.when(text != "", 1))
     out = F.when(present == 0, F.lit(None).cast("string"))
     for name in CLASSES:

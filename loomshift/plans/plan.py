@@ -204,6 +204,16 @@ def _merge_errors(spark: SparkSession, task: Task) -> list[str]:
     return [f"column {c} is not in the merge query" for c in task.columns if c not in names]
 
 
+def order_faults(order: list[str], ids: list[str]) -> dict[str, list[str]]:
+    """What is wrong with a stored order: ids that no task has, that come twice, and those that it misses."""
+    seen, twice = set(), []
+    for i in order:
+        if i in seen and i not in twice:
+            twice.append(i)
+        seen.add(i)
+    return {"unknown": [i for i in dict.fromkeys(order) if i not in ids], "twice": twice, "missing": [i for i in ids if i not in seen]}
+
+
 def validate(spark: SparkSession, plan: Plan, target: Catalog) -> dict[str, list[str]]:
     """Errors by task. Queries are analysed against the registered source views and never run."""
     out: dict[str, list[str]] = {}

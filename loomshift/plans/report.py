@@ -5,6 +5,7 @@ A number that nobody established stays None and is explained in words; it is nev
 
 from __future__ import annotations
 
+import html
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ..operators.reconcile import checksum_gate, column_checksums, compare_check
 from ..sources.catalog import Table
 from .plan import Plan, Task
 from .runner import Options, TaskReport, normalised, reconcile, recorded_rejects, rejected_rows
+from .state import Project, StateFault
 from .store import Store
 
 SAMPLES = 5
@@ -172,3 +174,36 @@ def report_markdown(report: dict) -> str:
         source = "unknown" if t["source_rows"] is None else f"{t['source_rows']:,}"
         out.append(f"| {t['id']} | {t['target']} | {source} | {t['loaded']:,} | {t['rejected']:,} | {t['status']} |")
     return "\n".join([*out, "", *(f"* {n}" for n in report["notes"])])
+
+
+def report_html(report: dict) -> str:
+    """The report as one file for a browser."""
+    cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape(str(v))}</{tag}>" for v in values) + "</tr>"
+    names = ("id", "target", "source_rows", "loaded", "rejected", "status")
+    rows = [cells("td", ("unknown" if t[n] is None else t[n] for n in names)) for t in report["tasks"]]
+    notes = "".join(f"<li>{html.escape(n)}</li>" for n in report["notes"])
+    head = html.escape(report["headline"])
+    return f"<!doctype html><meta charset=utf-8><title>{head}</title><h1>{head}</h1><table>{cells('th', names)}{''.join(rows)}</table><ul>{notes}</ul>"
+
+
+def live_totals(reports: list[TaskReport]) -> dict:
+    """Rows done, rows in all (None while any is unknown), rejects, and tasks by status."""
+    totals = [r.source_rows for r in reports]
+    status: dict[str, int] = {}
+    for r in reports:
+        status[r.status] = status.get(r.status, 0) + 1
+    return {"done": sum(r.loaded for r in reports), "total": None if None in totals else sum(totals), "rejected": sum(r.rejected for r in reports), "tasks": status}
+
+
+def finish_run(store: Store, project: Project, report: dict, run_id: str = "run") -> dict:
+    """Keep the report of a completed run and approve the last phase. A run that is finished already stays as it was."""
+    path = f"_runs/{run_id}/report.json"
+    kept = store.read_json(path)
+    if kept is None:
+        if any(t["status"] != "done" for t in report["tasks"]):
+            raise StateFault("the run is not complete")
+        store.write_new(path, report)
+        kept = report
+    for phase in ("transfer", "complete"):
+        project.status[phase] = "approved"
+    return kept

@@ -11,6 +11,7 @@ import json
 import re
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,16 @@ class Catalog:
     server: dict = field(default_factory=dict)
 
 
+def size_mb(spark: SparkSession, path: str) -> float | None:
+    """What a table's files take, by the file system; None where it does not say."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return round(system.getContentSummary(where).getLength() / 1e6, 3)
+    except Py4JJavaError:
+        return None
+
+
 def read_catalog(spark: SparkSession, side: str, folder: str, manifest: dict, count_rows: bool = True) -> Catalog:
     """The catalog of the manifest's tables, each ``folder/<table>.parquet``. Counts come from the files' footers."""
     tables = {}
@@ -81,8 +92,8 @@ def read_catalog(spark: SparkSession, side: str, folder: str, manifest: dict, co
         required, lengths = set(told.get("not_null", [])) | set(told.get("primary_key", [])), told.get("max_length", {})
         columns = [Column(f.name, k, told.get("types", {}).get(f.name, f.dataType.simpleString()), f.name not in required, f.name in told.get("identity", []), f.name in told.get("computed", []), f.name in told.get("rowversion", []), lengths.get(f.name, 0), told.get("collation", {}).get(f.name), default=told.get("defaults", {}).get(f.name)) for k, f in enumerate(df.schema.fields)]
         keys = [ForeignKey(k.get("name", f"FK{n}"), k["columns"], k["parent"], k["parent_columns"], k.get("trusted", True)) for n, k in enumerate(told.get("foreign_keys", []))]
-        tables[name] = Table(name, columns, df.count() if count_rows else None, None, told.get("primary_key", []), told.get("unique", []), keys, told.get("checks", []), told.get("triggers", []), told.get("temporal"), told.get("heap", False))
-    return Catalog(side, tables, {"version": spark.version})
+        tables[name] = Table(name, columns, df.count() if count_rows else None, size_mb(spark, f"{folder}/{name}.parquet"), told.get("primary_key", []), told.get("unique", []), keys, told.get("checks", []), told.get("triggers", []), told.get("temporal"), told.get("heap", False))
+    return Catalog(side, tables, {"version": spark.version, "major": int(spark.version.split(".")[0])})
 
 
 def fingerprint(catalog: Catalog) -> str:
@@ -101,6 +112,20 @@ def fingerprint(catalog: Catalog) -> str:
     return hashlib.sha256(json.dumps(shape, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def catalog_json(catalog: Catalog) -> dict:
+    """A catalog as it is stored."""
+    return asdict(catalog)
+
+
+def catalog_of(told: dict) -> Catalog:
+    """A stored catalog."""
+    tables = {}
+    for key, t in told["tables"].items():
+        parts = {"columns": [Column(**c) for c in t["columns"]], "foreign_keys": [ForeignKey(**k) for k in t["foreign_keys"]]}
+        tables[key] = Table(**{**t, **parts})
+    return Catalog(told["side"], tables, told["server"])
+
+
 def drifted(saved: str | None, current: Catalog | None) -> bool:
     """False without a saved fingerprint; an error, never "no drift", without a current catalog to compare with."""
     if saved is None:

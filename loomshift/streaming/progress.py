@@ -24,6 +24,19 @@ class RateWindow:
         return (n - m) / (b - a) if b > a else 0.0
 
 
+class Throttle:
+    """Lets an event through if the last one is long enough ago, or if it must go."""
+
+    def __init__(self, least_ms: float = THROTTLE_MS):
+        self.least_ms, self.last = least_ms, None
+
+    def passes(self, at_ms: float, forced: bool = False) -> bool:
+        if not forced and self.last is not None and at_ms - self.last < self.least_ms:
+            return False
+        self.last = at_ms
+        return True
+
+
 def seconds_left(totals: list[int | None], done: int, errors: int, rate: float) -> float | None:
     """None if the rate is zero or any total unknown."""
     if rate <= 0 or any(t is None for t in totals):

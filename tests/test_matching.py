@@ -104,3 +104,30 @@ def test_the_review_outlives_the_process(spark, tmp_path):
     assert p.save(store) == 2
     again = state.Project.load(store)
     assert again == p and again.feedback["mapping"][0].status == "superseded"
+
+
+def test_catalogs_are_stored_and_orders_checked(spark):
+    from loomshift.plans.plan import order_faults
+    from loomshift.sources.catalog import catalog_json, catalog_of, read_catalog
+    from loomshift.streaming.progress import Throttle
+
+    source, _ = both()
+    assert catalog_of(catalog_json(source)) == source
+    assert order_faults(["a", "x", "a", "a"], ["a", "b"]) == {"unknown": ["x"], "twice": ["a"], "missing": ["b"]}
+    throttle = Throttle()
+    assert [throttle.passes(t, f) for t, f in ((0, False), (100, False), (120, True), (300, False), (370, False))] == [True, False, True, False, True]
+    found = read_catalog(spark, "source", "/root/testdata/sf0.001", {"region": {"primary_key": ["r_regionkey"]}})
+    assert found.tables["region"].rows == 5 and found.tables["region"].size_mb > 0
+
+
+def test_finishing_a_run(spark, tmp_path):
+    from loomshift.plans import report
+    from loomshift.plans.runner import TaskReport
+
+    store, p = Store(spark, f"file://{tmp_path}/x"), state.Project()
+    told = {"headline": "a <b>", "notes": ["n"], "tasks": [{"id": "T1", "target": "A", "source_rows": None, "loaded": 1, "rejected": 0, "status": "done"}]}
+    with pytest.raises(state.StateFault):
+        report.finish_run(store, p, {**told, "tasks": [{**told["tasks"][0], "status": "paused"}]})
+    assert report.finish_run(store, p, told) == told == report.finish_run(store, p, {**told, "headline": "later"}) and p.status["complete"] == "approved"
+    assert "a &lt;b&gt;" in report.report_html(told) and "<td>unknown</td>" in report.report_html(told)
+    assert report.live_totals([TaskReport("T", "A", 5, 3, 1, status="done"), TaskReport("U", "B", None)]) == {"done": 3, "total": None, "rejected": 1, "tasks": {"done": 1, "pending": 1}}
