@@ -28,13 +28,22 @@ OTHER_BLANKS = "[\\x09-\\x0D]"
 SLACK = 1e-9
 
 
+def parts_of(line: Column) -> Column:
+    """The words of a line, repeats and empty ones included; the plain split where no blank is anything but a space."""
+    return F.when(line.rlike(OTHER_BLANKS), F.split(line, SPACE_SQL)).otherwise(F.split(line, " "))
+
+
 def words_of(line: Column) -> Column:
-    """The words of a line, repeats included; the plain split where no blank is anything but a space."""
-    return F.array_remove(F.when(line.rlike(OTHER_BLANKS), F.split(line, SPACE_SQL)).otherwise(F.split(line, " ")), "")
+    return F.array_remove(parts_of(line), "")
+
+
+def counter_of(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(COUNTERS - 1).cast("long"))
 
 
-def counter_of(*values: Column) -> Column:
-    return F.hash(*values).bitwiseAND(F.lit(COUNTERS - 1))
+def constant(numbers: list[int]) -> Column:
+    """An array of longs that the optimizer folds."""
+    return F.from_json(F.lit(str(numbers).replace(" ", "")), "array<bigint>")
 
 
 def characters(marks: DataFrame) -> str:
@@ -46,7 +55,7 @@ def characters(marks: DataFrame) -> str:
 
 def counted(counts: DataFrame) -> DataFrame:
     """(at, n) of every counter, from counts (at, n) of some."""
-    every = counts.sparkSession.range(0, COUNTERS, 1, 8).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("n"))
+    every = counts.sparkSession.range(0, COUNTERS, 1, 8).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("n"))
     return counts.union(every).groupBy("at").agg(F.sum("n").alias("n"))
 
 
@@ -58,34 +67,44 @@ def rarity(docs: DataFrame) -> Column:
     and the driver holds one character for each.
     """
     spaced = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
-    counts = docs.select(F.explode(spaced).alias("word")).groupBy(counter_of(F.col("word")).alias("at")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(spaced).alias("word")).groupBy(counter_of(F.xxhash64("word")).alias("at")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(63), F.floor(F.log2(F.col("n") + 1) * STEPS)).cast("int")
-    levels = [ord(c) - 33 for c in characters(counted(counts).select("at", F.char(level + 33).alias("mark")))]
-    return F.from_json(F.lit(str(levels).replace(" ", "")), "array<bigint>")
+    spark, room = docs.sparkSession, "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(room)
+    spark.conf.set(room, str(int(math.log2(COUNTERS)) + 1))  # all counters in the fast map of an aggregation
+    try:
+        marks = characters(counted(counts).select("at", F.char(level + 33).alias("mark")))
+    finally:
+        spark.conf.set(room, before)
+    return constant([ord(c) - 33 for c in marks])
 
 
 def among(places: DataFrame) -> Column:
     """A condition that holds for (doc, row) of places, and for few others while these are few: its size is fixed."""
-    marks = counted(places.groupBy(counter_of(F.col("doc"), F.col("row")).alias("at")).agg(F.count("*").alias("n")))
+    marks = counted(places.groupBy(counter_of(F.xxhash64("doc", "row")).alias("at")).agg(F.count("*").alias("n")))
     given = characters(marks.select("at", F.when(F.col("n") > 0, "1").otherwise("0").alias("mark"))).encode()
-    return F.substring(F.lit(given), counter_of(F.col("doc"), F.col("row")) + 1, 1) == F.lit(b"1")
+    return F.substring(F.lit(given), counter_of(F.xxhash64("doc", "row")).cast("int") + 1, 1) == F.lit(b"1")
 
 
 def line_classes(docs: DataFrame, levels: Column, threshold: float) -> DataFrame:
     """The first line of each set of words, the empty one included: (doc, row, line, size, first, both, odd).
 
-    first: the ranks of which two similar sets share one. both, odd: how many words are in each of 128 groups, modulo two.
-    Sets are told apart by 128 bits of hash over the 63 bits of their words' ranks.
+    first: the ranks of which two similar sets share one. both: how many words are in each of 64 groups, modulo two. odd: how
+    many of these are in the other half of their group. Sets are told apart by 128 bits
+    of hash over the 63 bits of their words' ranks.
     """
     lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rank = lambda w: F.shiftleft(levels[counter_of(w)], HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-    sets = lines.select("doc", "row", "line", F.sort_array(F.array_distinct(F.transform(words_of(F.col("raw")), rank))).alias("ranked"))
-    # Each word counts in one of 128 groups: 64 by the distance of the shift, which takes its lowest six bits, twice by the
-    # word's last bit. `both` has both halves in one, which costs less than a test of the bit.
-    parity = lambda one: F.expr(f"aggregate(ranked, 0L, (bits, w) -> bits ^ shiftleft({one}, cast(w >>> 32 as int)))")
+    # Functions of arrays interpret what they do with each word: every operation that they are spared tells. So words become
+    # hashes first and only different ones are ranked, as longs without nulls, which are sorted as such.
+    hashes = F.array_remove(F.array_distinct(F.transform(parts_of(F.col("raw")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    rank = lambda h: F.shiftleft(F.coalesce(levels[counter_of(h)], F.lit(0)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    sets = lines.select("doc", "row", "line", F.sort_array(F.transform(hashes, rank)).alias("ranked"))
+    bits = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
+    parity = lambda of: F.aggregate("ranked", F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(of[w.bitwiseAND(F.lit(127).cast("long"))]))
+    both, odd = parity(constant(bits + bits)), parity(constant([0] * 64 + bits))
     size = F.size("ranked")
     first = F.slice("ranked", F.lit(1), size - F.ceil(F.lit(threshold) * size - SLACK).cast("int") + 1)
-    columns = [size.alias("size"), F.xxhash64("ranked").alias("h1"), F.xxhash64(F.lit(7), "ranked").alias("h2"), first.alias("first"), parity("1L").alias("both"), parity("w & 1L").alias("odd")]
+    columns = [size.alias("size"), F.xxhash64("ranked").alias("h1"), F.xxhash64(F.lit(7), "ranked").alias("h2"), first.alias("first"), both.alias("both"), odd.alias("odd")]
     order = Window.partitionBy("h1", "h2", "size").orderBy("doc", "row", "line")
     return sets.select("doc", "row", "line", *columns).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "h1", "h2")
 

@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from loomshift.llm.components import connected_components
 from loomshift.llm.embeddings import embedding_near_dedup
-from loomshift.llm.linededup import line_dedup
+from loomshift.llm.linededup import line_classes, line_dedup, rarity
 from loomshift.llm.queries import QUERIES
 from loomshift.llm.simhash import fingerprint, simhash_components, simhash_dedup
 
@@ -115,6 +115,26 @@ def test_lines_against_all_pairs(spark, docs):
     assert line_dedup(docs([])).count() == 0
 
 
+def test_ranks_and_parities_of_lines_of_many_sizes(spark, docs):
+    pick, words = random.Random(8), [f"w{k}" for k in range(4000)]
+    lines = [[]]
+    for size in [4, 55, 63, 64, 65, 73, 150] * 4:
+        line = pick.sample(words, size)
+        lines += [line, line[: -(size // 8) or None], line + pick.sample(words, size // 5), line[size // 6 :] + ["other"]]
+    rows = [(d, "  ".join(line)) for d, line in enumerate(lines)]
+    seen, left = [], {}
+    for d, line in enumerate(map(set, lines)):
+        near = any(10 * len(line & s) >= 8 * len(line | s) for s in seen if line)
+        seen.append(line)
+        left[d] = "" if near else rows[d][1]
+    assert sum(t == "" for t in left.values()) > 40
+    assert {r["doc_id"]: r["text"] for r in line_dedup(docs(rows)).collect()} == left
+    able = docs(rows).selectExpr("doc_id doc", "xxhash64(text) row", "text")
+    classes = line_classes(able, rarity(able), 0.8)
+    assert not classes.schema["first"].dataType.containsNull  # else ranks are sorted as objects
+    assert all(r["size"] == len(set(lines[r["doc"]])) for r in classes.collect())
+
+
 def test_query_and_stage_settle_short_lines(spark, docs, tmp_path):
     rows = [(1, "Read more\nonly\n\nhttps://a.example/x"), (2, "more  Read\n \nonly only\nRead less"), (3, "https://a.example/x\n\u9019\u662f\u4e00\u53e5\u8a71\n\u9019\u662f\u4e00\u53e5\u8a71\nRead more now"), (4, "Read more\n")]
     wanted = {1: rows[0][1], 2: " \nRead less", 3: "\u9019\u662f\u4e00\u53e5\u8a71\nRead more now", 4: ""}
