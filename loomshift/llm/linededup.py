@@ -21,6 +21,8 @@ from .common import SPACE_SQL, cut, delete_path, numbered, scratch, tidy_shuffle
 COUNTERS, ROW, STEPS = 1 << 18, 1 << 9, 2
 #: A rank has 6 bits of rarity above these bits of the word's hash.
 HASH_BITS = 57
+#: Sets of so many words have parities of 128 bits, smaller ones of 64.
+LONG = 64
 #: By how many of its very first words a class leads others in the first step, and by how many it looks for a leader. Copies
 #: with rare words of their own have the shared ones further back.
 LEADS, LOOKS = 2, 6
@@ -90,7 +92,7 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float) -> DataFrame
     """The first line of each set of words, the empty one included: (doc, row, line, size, first, both, odd).
 
     first: the ranks of which two similar sets share one. both: how many words are in each of 64 groups, modulo two. odd: how
-    many of these are in the other half of their group. Sets are told apart by 128 bits
+    many of these are in the other half of their group, 0 for sets of less than LONG words. Sets are told apart by 128 bits
     of hash over the 63 bits of their words' ranks.
     """
     lines = docs.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
@@ -101,19 +103,19 @@ def line_classes(docs: DataFrame, levels: Column, threshold: float) -> DataFrame
     sets = lines.select("doc", "row", "line", F.sort_array(F.transform(hashes, rank)).alias("ranked"))
     bits = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
     parity = lambda of: F.aggregate("ranked", F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(of[w.bitwiseAND(F.lit(127).cast("long"))]))
-    both, odd = parity(constant(bits + bits)), parity(constant([0] * 64 + bits))
     size = F.size("ranked")
+    both, odd = parity(constant(bits + bits)), F.when(size < LONG, F.lit(0).cast("long")).otherwise(parity(constant([0] * 64 + bits)))
     first = F.slice("ranked", F.lit(1), size - F.ceil(F.lit(threshold) * size - SLACK).cast("int") + 1)
     columns = [size.alias("size"), F.xxhash64("ranked").alias("h1"), F.xxhash64(F.lit(7), "ranked").alias("h2"), first.alias("first"), both.alias("both"), odd.alias("odd")]
     order = Window.partitionBy("h1", "h2", "size").orderBy("doc", "row", "line")
     return sets.select("doc", "row", "line", *columns).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "h1", "h2")
 
 
-def prefixes(classes: DataFrame, threshold: float, *columns: str, most: int | None = None) -> DataFrame:
+def prefixes(classes: DataFrame, threshold: float, *columns: str, id: str = "id", most: int | None = None) -> DataFrame:
     """One row for each first word (or each of the ``most`` very first) of the classes that may resemble any other."""
     able = classes.where(F.floor(F.col("size") / F.lit(threshold) + SLACK) > F.col("size"))
     first = F.col("first") if most is None else F.slice("first", 1, most)
-    return able.select(F.posexplode(first).alias("pos", "word"), "id", "size", "both", "odd", *columns)
+    return able.select(F.posexplode(first).alias("pos", "word"), id, "size", "both", "odd", *columns)
 
 
 def alike(y: str, x: str, threshold: float) -> Column:
@@ -124,7 +126,8 @@ def alike(y: str, x: str, threshold: float) -> Column:
     length = F.least(of(y, "size"), of(x, "size")) >= F.lit(threshold) * F.greatest(of(y, "size"), of(x, "size")) - SLACK
     position = F.least(of(y, "size") - of(y, "pos"), of(x, "size") - of(x, "pos")) >= need
     odd, both = (of(y, c).bitwiseXOR(of(x, c)) for c in ("odd", "both"))
-    differ = F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(both))  # a word that only one set has changes one group
+    # A word that only one set has changes one group.
+    differ = F.when(F.least(of(y, "size"), of(x, "size")) < LONG, F.bit_count(both)).otherwise(F.bit_count(odd) + F.bit_count(odd.bitwiseXOR(both)))
     return length & (differ <= sizes - 2 * need) & position
 
 
@@ -138,10 +141,29 @@ def flagged(flags: str, line: Column) -> Column:
     return F.substring(F.col(flags), line + 1, F.lit(1)) == F.lit(b"1")
 
 
-def removed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(id) of the later class of each pair (a, b) of which the words have a similarity of the threshold or more."""
+def meeting(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the classes (with ``gone``: settled before) that may be similar, but for pairs of two settled ones.
+
+    Both sides are one shuffle: nothing in the condition tells of one side alone. key: the id, below zero if settled.
+    """
+    key = F.coalesce(F.when(F.col("gone"), -1 - F.col("id")).otherwise(F.col("id")), F.lit(-1).cast("long"))  # never null
+    rows = prefixes(classes.withColumn("key", key).drop("id"), threshold, id="key")
+    ahead = F.col("y.key") > F.greatest(F.col("x.key"), F.lit(-1).cast("long"))
+    met = rows.alias("y").join(rows.alias("x"), (F.col("y.word") == F.col("x.word")) & ahead & alike("y", "x", threshold))
+    return met.select(F.col("y.key").alias("a"), F.when(F.col("x.key") < 0, -1 - F.col("x.key")).otherwise(F.col("x.key")).alias("b")).distinct()
+
+
+def among_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, doc, row, line) of the classes that are in pairs (a, b)."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    places = classes.select("id", "doc", "row", "line").join(ids, "id", "left_semi")
+    return classes.select("id", "doc", "row", "line").join(ids, "id", "left_semi")
+
+
+def removed(docs: DataFrame, places: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(id) of the later class of each pair (a, b) of which the words have a similarity of the threshold or more.
+
+    places: (id, doc, row, line) of the classes in pairs, each once.
+    """
     places = cut(places)
     wanted = places.groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct("line", "id"))).alias("wanted"))
     wanted = wanted.withColumn("lines", F.transform("wanted", lambda x: x["line"])).select("doc", "row", "wanted", flags_of(F.col("lines")).alias("flags"))
@@ -170,16 +192,13 @@ def kept_lines(docs: DataFrame, threshold: float) -> DataFrame:
         leaders = rows.groupBy("word").agg(F.min(F.struct("place", "id", "size", "pos", "both", "odd")).alias("x"))
         looking = prefixes(classes.withColumn("place", place), threshold, "place", most=LOOKS)
         led = looking.alias("y").join(leaders.alias("leaders"), "word").where((F.col("x.place") < F.col("y.place")) & alike("y", "x", threshold))
-        led = cut(led.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
-        gone = cut(removed(docs, classes, led, threshold))
-        # The classes that are left meet each other, both sides being one shuffle, and those that are settled.
-        left = prefixes(classes.join(gone, "id", "left_anti"), threshold)
-        settled = prefixes(classes.join(gone, "id", "left_semi"), threshold)
-        pair = [F.col("y.id").alias("a"), F.col("x.id").alias("b")]
-        same = F.col("y.word") == F.col("x.word")
-        within = left.alias("y").join(left.alias("x"), same & (F.col("y.id") > F.col("x.id")) & alike("y", "x", threshold)).select(*pair)
-        across = left.alias("y").join(settled.alias("x"), same & alike("y", "x", threshold)).select(*pair)
-        late = cut(removed(docs, classes, cut(within.union(across).distinct()), threshold))
+        led = cut(led.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.place").alias("at_a"), F.col("x.place").alias("at_b")).distinct())
+        places = led.select(F.col("a").alias("id"), "at_a.*").union(led.select("b", "at_b.*")).distinct()
+        gone = cut(removed(docs, places, led.select("a", "b"), threshold))
+        # The classes that are left meet each other and those that are settled.
+        marked = classes.join(gone.withColumn("gone", F.lit(True)), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        pairs = cut(meeting(marked, threshold))
+        late = cut(removed(docs, among_pairs(classes, pairs), pairs, threshold))
         kept = cut(classes.join(gone.union(late), "id", "left_anti").select("doc", "row", "line"))
         delete_path(spark, path)
     return kept
@@ -201,7 +220,8 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     able = rows.where("doc is not null and text is not null").select("doc", "row", "text")
     stays = kept_lines(able, threshold).groupBy("doc", "row").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     joined = rows.join(stays.select("doc", "row", flags_of(F.col("lines")).alias("flags")), ["doc", "row"], "left")
-    if not able.groupBy("doc", "row").count().where("count > 1").isEmpty():
+    again = lambda *key: not able.groupBy(*key).count().where("count > 1").isEmpty()
+    if again("doc") and again("doc", "row"):
         other = F.to_json(F.struct(*(x for c, x in field.items() if c.lower() != "text")))
         copy = F.row_number().over(Window.partitionBy("doc", "row").orderBy(other))
         joined = joined.withColumn("flags", F.when(F.col("doc").isNull() | (copy == 1), F.col("flags")))

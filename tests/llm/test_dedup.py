@@ -7,6 +7,7 @@ import numpy as np
 import corpus_pipeline
 from loomshift.llm.components import connected_components
 from loomshift.llm.embeddings import embedding_near_dedup
+from loomshift.llm import linededup
 from loomshift.llm.linededup import line_classes, line_dedup, rarity
 from loomshift.llm.queries import QUERIES
 from loomshift.llm.simhash import fingerprint, simhash_components, simhash_dedup
@@ -142,3 +143,29 @@ def test_query_and_stage_settle_short_lines(spark, docs, tmp_path):
     found = {r["doc_id"]: (r["n_removed_lines"], r["text_sha256"]) for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
     assert found == {d: (t.count("\n") + 1 - len(wanted[d].split("\n")), hashlib.sha256(wanted[d].encode()).hexdigest()) for d, t in rows}
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(rows), "").collect()} == wanted
+
+
+def test_classes_left_and_settled_meet_in_one_shuffle(spark, docs, tmp_path):
+    pick, words = random.Random(9), [f"w{k}" for k in range(3000)]
+    lines = []
+    for size in [5, 9, 30, 63, 64, 70] * 6:
+        line = pick.sample(words, size)
+        lines += [line, line[:-1] + ["other"], line[: -(size // 8) or None]]
+    able = docs([(d, " ".join(line)) for d, line in enumerate(lines)]).selectExpr("doc_id doc", "xxhash64(text) row", "text")
+    classes = line_classes(able, rarity(able), 0.8)
+    classes.selectExpr("*", "doc id", "doc % 3 = 2 gone").write.parquet(f"{tmp_path}/classes")
+    stored = spark.read.parquet(f"{tmp_path}/classes")
+    assert all((r["odd"] == 0) == (r["size"] < linededup.LONG) for r in stored.collect())
+    room = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(room)
+    spark.conf.set(room, "-1")
+    try:
+        met = linededup.meeting(stored, 0.8)
+        found = {frozenset(r) for r in met.collect()}
+    finally:
+        spark.conf.set(room, before)
+    ids = sorted(r["id"] for r in stored.collect())  # of equal sets the first
+    similar = {frozenset((a, b)) for a in ids for b in ids if b < a and 10 * len({*lines[a]} & {*lines[b]}) >= 8 * len({*lines[a]} | {*lines[b]})}
+    gone = {d for d in range(len(lines)) if d % 3 == 2}
+    assert {p for p in similar if not p <= gone} <= found and not any(p <= gone for p in found)
+    assert "ReusedExchange" in met._jdf.queryExecution().executedPlan().toString()
